@@ -87,33 +87,25 @@ def base_sql(text: str) -> dict[str, str]:
     """SQL of the raw counts that every rule starts from; text is the SQL name of a non-null string."""
     trimmed = f"btrim({text}, {_WS})"
     words = f"if({trimmed} = '', cast(array() as array<string>), split({trimmed}, {_GAP}))"
-    inner = {"n_words": "cast(size(w) as bigint)", "n_repeat_words": repeat_words_sql("w")}
+    stops = ", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS.split())))
+    inner = {
+        "n_words": "cast(size(w) as bigint)",
+        "word_chars": "cast(length(array_join(w, '')) as bigint)",
+        "n_stop_words": f"cast(size(filter(w, x -> x in ({stops}))) as bigint)",
+        "n_repeat_words": repeat_words_sql("w"),
+    }
     both = let(words, "w", "struct(" + ", ".join(f"{v} as {k}" for k, v in inner.items()) + ")")
     lines = f"filter(split({text}, '\\n'), l -> btrim(l, {_WS}) != '')"
     dup = let(lines, "ls", "struct(cast(size(ls) as bigint) as n_lines, cast(size(ls) - size(array_distinct(ls)) as bigint) as n_dup_lines)")
-    gap = "[\\\\x20\\\\x09-\\\\x0D]"
     return {
         "word_figures": both,
         "line_figures": dup,
-        "word_chars": f"cast(length({text}) - regexp_count({text}, '{gap}') as bigint)",
         "n_symbols": f"cast(regexp_count({text}, '[#*$%&|<>]') as bigint)",
         "n_shouts": f"cast(regexp_count({text}, '!') as bigint)",
-        "n_stop_words": f"cast(regexp_count({text}, '{gap}{_trie(STOP_WORDS.split())}(?=[\\\\x20\\\\x09-\\\\x0D.,;:!?])') as bigint)",
         "n_ellipsis_lines": f"cast(regexp_count({text}, '\\\\.\\\\.\\\\.[\\\\x20\\\\t]*(?:\\\\n|$)') as bigint)",
     }
 
 
-def _trie(words) -> str:
-    """A pattern for any of the words that branches on one letter at a time."""
-    heads: dict[str, list[str]] = {}
-    for x in sorted(set(words)):
-        heads.setdefault(x[:1], []).append(x[1:])
-    ends = heads.pop("", None) is not None
-    parts = [c + (_trie(rest) if rest != [""] else "") for c, rest in heads.items()]
-    body = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
-    return body + "?" * ends
-
-
 def metrics() -> dict[str, object]:
     """The ratios that rules may name, over the raw counts."""
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -148,7 +140,7 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.select("doc_id", *(F.expr(v).alias(k) for k, v in base_sql("t").items()))
-    d = d.select("doc_id", "word_figures.*", "line_figures.*", "word_chars", "n_symbols", "n_shouts", "n_stop_words", "n_ellipsis_lines")
+    d = d.select("doc_id", "word_figures.*", "line_figures.*", "n_symbols", "n_shouts", "n_ellipsis_lines")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
