@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from mnemo.llm import exact_dedup, quality
+from mnemo.llm import exact_dedup, mixing, quality, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES: dict[str, str] = {}
