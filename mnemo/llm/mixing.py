@@ -22,7 +22,7 @@ from mnemo.llm.common import GAP, SPACES, discard, table, written
 
 #: No document is taken, and no source repeated, more often than this.
 MAX_EPOCHS = 3
-#: Times that a source's last gap is filled with the largest unused document that fits.
+#: Times that a source's last gap is filled with the largest unused document that fits; once more, one may overshoot less than it lacks.
 FILL_ROUNDS = 3
 
 
@@ -79,7 +79,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Null texts have size 0, a null source is a source of its own (the last), sources of size 0 have target 0 and give
     nothing.  Repeated rows are rows like any other: each has its size and is taken on its own.  Documents are taken
-    whole; a source's words differ from its target by less than its smallest fitting document.  A rerun, on any number
+    whole; a source's words come as near its target as a few unused documents allow.  A rerun, on any number
     of executors, gives the same mix.  Other columns of docs are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -117,19 +117,20 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = written(rows.select("doc_id", "u", "size", "src_no", "source_size", "target", "epochs", "extra", "turns"), "mix-rows")
     discard(narrow)
 
-    # Where the next document no longer fits, a gap stays; the largest unused document that fits it is added, a few times.
+    # Where the next document no longer fits, a gap stays; unused documents near it in size fill it.
     taken = rows.groupBy("src_no").agg(F.sum(F.col("size") * (F.col("epochs") + F.col("extra"))).alias("words")).collect()
     gap, chosen = {r.src_no: plan[r.src_no][3] - r.words for r in taken if plan[r.src_no][4] < MAX_EPOCHS}, []
     spare = rows.where("extra = 0 and size > 0").select("src_no", "doc_id", "u", "size")
-    for _ in range(FILL_ROUNDS):
+    for turn in range(FILL_ROUNDS + 1):
         if not (left := [(i, g) for i, g in gap.items() if g >= 1]):
             break
         unused = spare
         if chosen:
             used = spark.createDataFrame(chosen, "no int, fill_u long, fill_id long")
             unused = spare.join(used, (F.col("src_no") == F.col("no")) & (F.col("u") == F.col("fill_u")) & F.col("doc_id").eqNullSafe(F.col("fill_id")), "left_anti")
-        fits = unused.join(spark.createDataFrame(left, "no int, gap double"), F.col("src_no") == F.col("no")).where("size <= gap")
-        for r in fits.groupBy("src_no").agg(F.max(F.struct("size", "u", "doc_id")).alias("best")).collect():
+        fits = unused.join(spark.createDataFrame(left, "no int, gap double"), F.col("src_no") == F.col("no"))
+        fits = fits.where("size <= gap" if turn < FILL_ROUNDS else "size < 2 * gap").select("src_no", F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "u", "doc_id", "size").alias("c"))
+        for r in fits.groupBy("src_no").agg(F.min("c").alias("best")).collect():
             chosen.append((r.src_no, r.best.u, r.best.doc_id))
             gap[r.src_no] -= r.best.size
     fill = spark.createDataFrame(chosen, "no int, fill_u long, fill_id long").withColumn("filled", F.lit(1))
