@@ -119,6 +119,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     # Where the next document no longer fits, a gap stays; unused documents near it in size fill it.
     taken = rows.groupBy("src_no").agg(F.sum(F.col("size") * (F.col("epochs") + F.col("extra"))).alias("words")).collect()
+    # Broadcast here are a row per source, or a few, that the driver has made itself.
     gap, chosen = {r.src_no: plan[r.src_no][3] - r.words for r in taken if plan[r.src_no][4] < MAX_EPOCHS}, []
     spare = rows.where("extra = 0 and size > 0").select("src_no", "doc_id", "u", "size")
     for turn in range(FILL_ROUNDS + 1):
@@ -127,14 +128,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         unused = spare
         if chosen:
             used = spark.createDataFrame(chosen, "no int, fill_u long, fill_id long")
-            unused = spare.join(used, (F.col("src_no") == F.col("no")) & (F.col("u") == F.col("fill_u")) & F.col("doc_id").eqNullSafe(F.col("fill_id")), "left_anti")
-        fits = unused.join(spark.createDataFrame(left, "no int, gap double"), F.col("src_no") == F.col("no"))
+            unused = spare.join(F.broadcast(used), (F.col("src_no") == F.col("no")) & (F.col("u") == F.col("fill_u")) & F.col("doc_id").eqNullSafe(F.col("fill_id")), "left_anti")
+        fits = unused.join(F.broadcast(spark.createDataFrame(left, "no int, gap double")), F.col("src_no") == F.col("no"))
         fits = fits.where("size <= gap" if turn < FILL_ROUNDS else "size < 2 * gap").select("src_no", F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "u", "doc_id", "size").alias("c"))
         for r in fits.groupBy("src_no").agg(F.min("c").alias("best")).collect():
             chosen.append((r.src_no, r.best.u, r.best.doc_id))
             gap[r.src_no] -= r.best.size
     fill = spark.createDataFrame(chosen, "no int, fill_u long, fill_id long").withColumn("filled", F.lit(1))
-    out = rows.join(fill, (F.col("src_no") == F.col("no")) & (F.col("u") == F.col("fill_u")) & F.col("doc_id").eqNullSafe(F.col("fill_id")), "left")
+    out = rows.join(F.broadcast(fill), (F.col("src_no") == F.col("no")) & (F.col("u") == F.col("fill_u")) & F.col("doc_id").eqNullSafe(F.col("fill_id")), "left")
     copies = F.col("epochs") + F.col("extra") + F.coalesce("filled", F.lit(0))
     out = out.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.slice("turns", F.lit(1), F.col("copies")).alias("shards"))
