@@ -1,12 +1,13 @@
 """LM scoring by deleted interpolation.
 
-The model predicts a lower-cased text byte by byte and its end.  Maximum-likelihood estimates after contexts of 0 to 4
-bytes are interpolated: level k takes its own estimate with a weight that depends on the bucket of its context's
-frequency, and the level below with the rest.  A deleted part of the training texts is kept out of the counts; on it,
-expectation-maximisation learns the weights.  Contexts of two bytes and more fall into a fixed number of classes by a
+The model predicts a text's tokens (lower-cased words, then the end).  A token's own relative frequency is interpolated
+with its spelling, and the spelling is a mixture over n-grams of bytes: maximum-likelihood estimates after contexts of 0
+to 4 bytes, where level k takes its own estimate with a weight that depends on the bucket of its context's frequency,
+and the level below with the rest.  A deleted part of the training texts is kept out of the counts; on it,
+expectation-maximisation learns all weights.  Contexts of two bytes and more fall into a fixed number of classes by a
 hash, so the tables that tasks hold have a bounded size, and every training byte counts.
 
-Word counts, for the baseline score, are exact and unbounded: see pieces.py for their bounded head and joined tail.
+Word counts are exact and unbounded: see pieces.py for their bounded head and joined tail.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ CLASS_BITS = (0, 8, 14, 15, 16)
 #: Frequency buckets of a context: 0, then octaves.
 BUCKETS = 26
 #: One training text in so many is deleted from the counts and teaches the weights.
-DELETED = 400
+DELETED = 200
 EM_STEPS = 12
 #: The byte that begins and ends texts; it occurs in no UTF-8.
 EDGE = 0xFF
@@ -56,10 +57,10 @@ def cells(buf: np.ndarray, at: np.ndarray):
 
 
 def lines_of(batch_texts, most: int = CHUNK):
-    """Texts as lower-cased bytes, in runs of at most about `most` bytes."""
+    """Texts as lower-cased words with a space after each, in runs of at most about `most` bytes."""
     run, size = [], 0
     for t in batch_texts:
-        b = t.encode("utf-8", "surrogatepass").lower()
+        b = b" ".join([*t.encode("utf-8", "surrogatepass").lower().split(), b""])
         run.append(b)
         size += len(b)
         if size >= most:
@@ -85,20 +86,22 @@ def _count_bytes(batches):
 
 
 def _count_words(batches):
-    seen: Counter = Counter()
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
-        for run in lines_of(b.column(0).to_pylist()):
-            for t in run:
-                seen.update(t.split())
-        if len(seen) > 1_000_000:
+        for t, apart in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            seen[apart].update(t.encode("utf-8", "surrogatepass").lower().split())
+        if len(seen[0]) > 1_000_000:
             yield from _word_rows(seen)
-            seen = Counter()
+            seen = (Counter(), Counter())
     yield from _word_rows(seen)
 
 
-def _word_rows(seen: Counter, rows: int = 100_000):
-    whole = pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-    yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
+def _word_rows(seen: tuple[Counter, Counter], rows: int = 100_000):
+    for counts, apart in zip(seen, (False, True), strict=True):
+        n = pa.array(list(counts.values()), pa.int64())
+        none = pa.array(np.zeros(len(n), dtype=np.int64))
+        whole = pa.record_batch([pa.array(list(counts), pa.binary()), n, n if apart else none], names=["term", "n", "d"])
+        yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
 
 
 class Model:
@@ -130,13 +133,15 @@ class Model:
             yield k, counts[(c << np.uint32(8)) | now] / totals[c], bucket[c]
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each text, its end included."""
+        """The log10 probability of each token's spelling, the end of each text included."""
         buf, at, starts = packed(texts)
         p = np.full(len(at), 1.0 / 256)
         for k, own, bucket in self.levels(buf, at):
             w = self.weights[k][bucket]
             p = w * own + (1 - w) * p
-        return np.add.reduceat(np.log10(p), starts) if len(texts) else np.zeros(0)
+        first = buf[at - 1] == 0x20
+        first[starts] = True
+        return np.add.reduceat(np.log10(p), np.flatnonzero(first)) if len(texts) else np.zeros(0)
 
 
 def em_step(estimates: np.ndarray, buckets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,57 +214,94 @@ def train(texts: DataFrame, deleted: DataFrame) -> Model:
 
 
 def _score(shared):
+    """Sums over the head's tokens, and the tail's tokens with their spelling's log10 probability."""
+
     def run(batches):
         from pyspark import TaskContext
 
-        model, head = shared.value
+        model, head, share, n, end = shared.value
         part, number = TaskContext.get().partitionId() << 40, itertools.count()
         for b in batches:
-            ids, sums, known, words, tails, scores = [], [], [], [], [], []
+            ids, sums, words, tails, spelled, scores = [], [], [], [], [], []
             for texts in lines_of(b.column(2).to_pylist()):
-                scores.append(model.log10(texts))
+                logs, at = model.log10(texts), 0
                 for t in texts:
                     terms = t.split()
-                    found = list(map(head.get, terms))
-                    tails.append([x for x, c in zip(terms, found, strict=True) if c is None] if None in found else [])
-                    sums.append(math.fsum(c for c in found if c is not None))
-                    known.append(len(terms) - len(tails[-1]))
+                    own, at = logs[at : at + len(terms) + 1], at + len(terms) + 1
+                    c = np.array([head.get(w, -1) for w in terms] + [end], dtype=np.float64)
+                    known = c >= 0
+                    c, rare = c[known], np.flatnonzero(~known)
+                    sums.append(float(np.log10(c + 1).sum()))
+                    scores.append(float(np.log10(share * c / max(n, 1) + (1 - share) * 10.0 ** own[known]).sum()))
+                    tails.append([terms[i] for i in rare])
+                    spelled.append(own[rare].tolist())
                     words.append(len(terms))
                     ids.append(part + next(number))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                names=["rid", "doc_id", "held_out", "words", "head_known", "head_sum", "tail", "score"],
+                [pa.array(ids, pa.int64()), b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(spelled, pa.list_(pa.float32()))],
+                names=["rid", "doc_id", "held_out", "words", "head_sum", "head_score", "tail", "spelled"],
             )
 
     return run
 
 
+def _spell(shared):
+    def run(batches):
+        for b in batches:
+            for texts in lines_of(b.column(0).to_pylist()):
+                logs = shared.value.log10(texts)
+                terms = [w for t in texts for w in (*t.split(), b"")]
+                yield pa.record_batch([pa.array(terms, pa.binary()), pa.array(logs)], names=["term", "spelled"])
+
+    return run
+
+
+def token_share(deleted: DataFrame, model: Model, terms: DataFrame, n: int) -> float:
+    """The weight of a token's own frequency against its spelling, by expectation-maximisation on the deleted texts.
+
+    Counts leave out the deleted texts; ends are left to the spelling here, one a text.
+    """
+    spark = deleted.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    rows = deleted.select("t").mapInArrow(_spell(shared), "term binary, spelled double").where("octet_length(term) > 0")
+    seen = written(rows.join(terms.where("d > 0"), "term").select((F.col("n") - F.col("d")).alias("c"), F.pow(F.lit(10.0), "spelled").alias("p")), "lm-shares")
+    own = F.col("c") / F.lit(float(max(n, 1)))
+    share = 0.5
+    for _ in range(EM_STEPS):
+        got = seen.agg(F.sum(share * own / (share * own + (1 - share) * F.col("p"))).alias("used"), F.count(F.lit(1)).alias("seen")).first()
+        share = ((got.used or 0.0) + 0.5) / (got.seen + 1.0)
+    return min(share, 0.9999)
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held: int = 2, head_terms: int = HEAD_TERMS, deleted: int = DELETED) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null counts as the empty text, which has the end token alone.  Documents whose crc32(id) mod parts is held teach
     nothing.  Repeated rows each count and are each scored; other columns of docs are not read.  An empty table gives
-    an empty result; without training documents counts are 0 and the model is uniform.
+    an empty result; without training documents counts are 0 and the spelling is uniform.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, parts) == held).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    training = texts.where(~F.col("held_out"))
-    apart = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(deleted)) == 0
-    model = train(training.where(~apart), training.where(apart))
-    terms = written(training.select("t").mapInArrow(_count_words, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")), "lm-words")
-    total = terms.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    training = texts.where(~F.col("held_out")).withColumn("apart", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(deleted)) == 0)
+    away = training.where("apart")
+    model = train(training.where("not apart"), away)
+    counted = training.select("t", "apart").mapInArrow(_count_words, "term binary, n long, d long")
+    terms = written(counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "lm-words")
+    total = terms.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("v")).first()
     ends = training.count()
     n, v = (total.n or 0) + ends, total.v + (ends > 0)
-    logs = {w: math.log10(c + 1) for w, c in to_map(head_of(terms, head_terms), "n").items()}
-    shared = spark.sparkContext.broadcast((model, logs))
-    rows = written(texts.select("doc_id", "held_out", "t").mapInArrow(_score(shared), "rid long, doc_id long, held_out boolean, words long, head_known long, head_sum double, tail array<binary>, score double"), "lm-scores")
-    tail = rows.select("rid", F.explode("tail").alias("term")).join(terms, "term")
-    tail = tail.groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1)).alias("tail_sum"), F.count(F.lit(1)).alias("tail_known"))
+    share = token_share(away, model, terms, (total.n or 0) - (total.d or 0))
+    shared = spark.sparkContext.broadcast((model, to_map(head_of(terms, head_terms), "n"), share, n, ends))
+    rows = written(texts.select("doc_id", "held_out", "t").mapInArrow(_score(shared), "rid long, doc_id long, held_out boolean, words long, head_sum double, head_score double, tail array<binary>, spelled array<float>"), "lm-scores")
+    pairs = rows.select("rid", F.explode(F.arrays_zip("tail", "spelled")).alias("x")).select("rid", F.col("x.tail").alias("term"), F.col("x.spelled").alias("spelled"))
+    met = pairs.join(terms.select("term", "n"), "term", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    mixed = share * F.col("c") / F.lit(float(max(n, 1))) + (1 - share) * F.pow(F.lit(10.0), "spelled")
+    tail = met.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("tail_sum"), F.sum(F.log10(mixed)).alias("tail_score"), F.sum((F.col("c") == 0).cast("long")).alias("unknown"))
     tokens = F.col("words") + 1
-    base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) + math.log10(ends + 1) - tokens * math.log10(n + v + 1)
-    return rows.drop("tail").join(tail, "rid", "left").select(
-        "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
-    )
+    base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - tokens * math.log10(n + v + 1)
+    known = tokens - F.coalesce("unknown", F.lit(0)) - int(ends == 0)
+    score = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
+    return rows.drop("tail", "spelled").join(tail, "rid", "left").select("doc_id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
