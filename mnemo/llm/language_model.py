@@ -1,11 +1,11 @@
 """LM scoring by deleted interpolation.
 
-The model predicts a text's tokens (lower-cased words, then the end).  A token's own relative frequency is interpolated
-with its spelling, and the spelling is a mixture over n-grams of bytes: maximum-likelihood estimates after contexts of 0
-to 4 bytes, where level k takes its own estimate with a weight that depends on the bucket of its context's frequency,
-and the level below with the rest.  A deleted part of the training texts is kept out of the counts; on it,
-expectation-maximisation learns all weights.  Contexts of two bytes and more fall into a fixed number of classes by a
-hash, so the tables that tasks hold have a bounded size, and every training byte counts.
+Tokens are the lower-cased words of a text and its end; events are the words of the training texts and one class for all
+others, as in the baseline.  Three maximum-likelihood levels are mixed: uniform, unigram, and a bigram of word classes
+(a frequent word is its own class, the others share classes by a hash, so that the bigram table in every task has a
+fixed size and still counts every training token).  The bigram's weight depends on the frequency bucket of its context.
+A deleted part of the training texts stays out of the model's counts; on its counts expectation-maximisation learns the
+weights, and the share of tokens that are new there is the probability of an unknown word.
 
 Word counts are exact and unbounded: see pieces.py for their bounded head and joined tail.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,72 +25,36 @@ from pyspark.sql import functions as F
 from mnemo.llm.common import fold_of, table, written
 from mnemo.llm.pieces import HEAD_TERMS, head_of, to_map
 
-#: Bits of context classes by context length; 0 and 1 are exact.
-CLASS_BITS = (0, 8, 14, 15, 16)
+#: Word classes: 0 is the end (and what stands before a text), then the most frequent words, then hashed classes.
+CLASSES, OWN = 2048, 1023
+HASHED = CLASSES - OWN - 1
 #: Frequency buckets of a context: 0, then octaves.
-BUCKETS = 26
+BUCKETS = 48
 #: One training text in so many is deleted from the counts and teaches the weights.
-DELETED = 200
-EM_STEPS = 12
-#: The byte that begins and ends texts; it occurs in no UTF-8.
-EDGE = 0xFF
-#: Bytes that are worked on at a time.
-CHUNK = 1 << 21
-
-
-def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One buffer of all texts with edges, the positions to predict, and the first of these per text."""
-    pad = bytes([EDGE]) * (len(CLASS_BITS) - 1)
-    buf = np.frombuffer(b"".join([x for t in texts for x in (pad, t, b"\xff")]), dtype=np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(texts) else np.zeros(0, dtype=np.int64)
-    at = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(np.arange(1, len(texts) + 1) * len(pad), sizes)
-    return buf, at, starts
-
-
-def cells(buf: np.ndarray, at: np.ndarray):
-    """For each context length, the class of the context before each position."""
-    ctx = np.zeros(len(at), dtype=np.uint32)
-    yield 0, ctx
-    for k in range(1, len(CLASS_BITS)):
-        ctx = ctx | (buf[at - k].astype(np.uint32) << np.uint32(8 * (k - 1)))
-        yield k, ctx if k == 1 else (ctx * np.uint32(0x9E3779B1)) >> np.uint32(32 - CLASS_BITS[k])
-
-
-def lines_of(batch_texts, most: int = CHUNK):
-    """Texts as lower-cased words with a space after each, in runs of at most about `most` bytes."""
-    run, size = [], 0
-    for t in batch_texts:
-        b = b" ".join([*t.encode("utf-8", "surrogatepass").lower().split(), b""])
-        run.append(b)
-        size += len(b)
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
-def _count_bytes(batches):
-    sums = [np.zeros(1 << (bits + 8), dtype=np.int64) for bits in CLASS_BITS]
-    for b in batches:
-        for run in lines_of(b.column(0).to_pylist(), 4 * CHUNK):
-            buf, at, _ = packed(run)
-            now = buf[at].astype(np.uint32)
-            for k, c in cells(buf, at):
-                sums[k] += np.bincount((c << np.uint32(8)) | now, minlength=len(sums[k]))
-    for k, s in enumerate(sums):
-        used = np.flatnonzero(s)
-        for i in range(0, len(used), 100_000):
-            part = used[i : i + 100_000]
-            yield pa.record_batch([pa.array(np.full(len(part), k, dtype=np.int32)), pa.array(part.astype(np.int32)), pa.array(s[part])], names=["k", "cell", "n"])
+DELETED = 100
+EM_STEPS = 15
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words of a text as bytes, A to Z lower-cased; bytes.split parts them at exactly the six separators."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+class Classes(dict):
+    """Word -> class; remembers a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        k = OWN + 1 + crc32(word) % HASHED
+        if len(self) < 500_000 and len(word) <= 40:
+            self[word] = k
+        return k
 
 
 def _count_words(batches):
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
         for t, apart in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen[apart].update(t.encode("utf-8", "surrogatepass").lower().split())
+            seen[apart].update(words_of(t))
         if len(seen[0]) > 1_000_000:
             yield from _word_rows(seen)
             seen = (Counter(), Counter())
@@ -104,204 +69,174 @@ def _word_rows(seen: tuple[Counter, Counter], rows: int = 100_000):
         yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
 
 
+def _count_classes(own):
+    """Bigram counts of classes, one row per used cell and task."""
+
+    def run(batches):
+        cls, sums = Classes(own.value), np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        keep: list[int] = []
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                keep += [0, *map(cls.__getitem__, words_of(t)), 0, -1]
+                if len(keep) > 1_000_000:
+                    sums += _pairs(keep)
+                    keep = []
+        sums += _pairs(keep)
+        used = np.flatnonzero(sums)
+        for i in range(0, len(used), 100_000):
+            part = used[i : i + 100_000]
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(sums[part])], names=["cell", "n"])
+
+    return run
+
+
+def _pairs(keep: list[int]) -> np.ndarray:
+    x = np.asarray(keep, dtype=np.int64)
+    a, b = x[:-1], x[1:]
+    ok = (a >= 0) & (b >= 0)
+    return np.bincount(a[ok] * CLASSES + b[ok], minlength=CLASSES * CLASSES)
+
+
 class Model:
-    """Counts by context length (dense, of bounded size) and the learned weights."""
+    """Class bigrams as sparse counts (dense once loaded) and the bigram's weight by context bucket."""
 
-    def __init__(self, sparse, weights: np.ndarray):
-        self.sparse, self.weights, self.tables = sparse, weights, None
+    def __init__(self, own: dict[bytes, int], cell: np.ndarray, n: np.ndarray):
+        self.own, self.cell, self.n, self.dense = own, cell, n, None
 
     def __getstate__(self):
-        return {"sparse": self.sparse, "weights": self.weights, "tables": None}
+        return self.__dict__ | {"dense": None}
 
     def load(self) -> None:
-        if self.tables is None:
-            self.tables = []
-            for k, bits in enumerate(CLASS_BITS):
-                counts = np.zeros(1 << (bits + 8), dtype=np.float32)
-                at, n = self.sparse[k]
-                counts[at] = n
-                totals = counts.reshape(-1, 256).sum(axis=1, dtype=np.float64)
-                bucket = np.where(totals > 0, 1 + np.minimum(np.log2(np.maximum(totals, 1)).astype(np.int64), BUCKETS - 2), 0).astype(np.uint8)
-                self.tables.append((counts, np.maximum(totals, 1).astype(np.float32), bucket))
-
-    def levels(self, buf: np.ndarray, at: np.ndarray):
-        """(estimate, bucket) of each level at each position."""
+        if self.dense is None:
+            self.dense = np.zeros((CLASSES, CLASSES))
+            self.dense.ravel()[self.cell] = self.n
+            rows = self.dense.sum(axis=1)
+            self.bucket = np.where(rows > 0, 1 + np.log2(np.maximum(rows, 1)).astype(np.int64), 0)
+            self.within = np.maximum(self.dense.sum(axis=0), 1)  # tokens of a class
+            self.dense /= np.maximum(rows, 1)[:, None]
+
+    def context(self, classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """For the tokens of a text and its end: P(class | class before) / tokens of the class, and the bucket before."""
         self.load()
-        now = buf[at].astype(np.uint32)
-        for k, c in cells(buf, at):
-            counts, totals, bucket = self.tables[k]
-            yield k, counts[(c << np.uint32(8)) | now] / totals[c], bucket[c]
-
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """The log10 probability of each token's spelling, the end of each text included."""
-        buf, at, starts = packed(texts)
-        p = np.full(len(at), 1.0 / 256)
-        for k, own, bucket in self.levels(buf, at):
-            w = self.weights[k][bucket]
-            p = w * own + (1 - w) * p
-        first = buf[at - 1] == 0x20
-        first[starts] = True
-        return np.add.reduceat(np.log10(p), np.flatnonzero(first)) if len(texts) else np.zeros(0)
-
-
-def em_step(estimates: np.ndarray, buckets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected uses of each level and visits to it, by bucket; arrays are (level, position)."""
-    levels = len(CLASS_BITS)
-    below = np.full(estimates.shape[1], 1.0 / 256)
-    mixed = [below]
-    w = np.stack([weights[k][buckets[k]] for k in range(levels)])
-    for k in range(levels):
-        mixed.append(w[k] * estimates[k] + (1 - w[k]) * mixed[-1])
-    used, seen = np.zeros((levels, BUCKETS)), np.zeros((levels, BUCKETS))
-    reach = np.ones(estimates.shape[1])  # probability, given the outcome, that the choice comes down to the level
-    for k in range(levels - 1, -1, -1):
-        here = reach * w[k] * estimates[k] / mixed[k + 1]
-        used[k] = np.bincount(buckets[k], weights=here, minlength=BUCKETS)
-        seen[k] = np.bincount(buckets[k], weights=reach, minlength=BUCKETS)
-        reach = reach - here
-    return used, seen
-
-
-def first_weights() -> np.ndarray:
-    w = np.full((len(CLASS_BITS), BUCKETS), 0.5)
-    w[:, 0] = 0.0
-    return w
+        x = np.asarray([0, *classes, 0], dtype=np.int64)
+        return self.dense[x[:-1], x[1:]] / self.within[x[1:]], self.bucket[x[:-1]]
 
 
 def _observe(shared):
+    """Each token of the deleted texts with its context figures; the end is an empty term."""
+
     def run(batches):
         model = shared.value
+        cls = Classes(model.own)
         for b in batches:
-            for texts in lines_of(b.column(0).to_pylist()):
-                buf, at, _ = packed(texts)
-                got = list(model.levels(buf, at))
-                est = np.stack([e for _, e, _ in got]).astype(np.float32)
-                buk = np.stack([x for _, _, x in got])
-                yield pa.record_batch([pa.array([est.tobytes()], pa.binary()), pa.array([buk.tobytes()], pa.binary())], names=["estimates", "buckets"])
+            for t in b.column(0).to_pylist():
+                words = words_of(t)
+                per, bucket = model.context(list(map(cls.__getitem__, words)))
+                yield pa.record_batch([pa.array([*words, b""], pa.binary()), pa.array(per), pa.array(bucket.astype(np.int32))], names=["term", "per", "bucket"])
 
     return run
 
 
-def _expect(weights: np.ndarray):
-    def run(batches):
-        used, seen = np.zeros((len(CLASS_BITS), BUCKETS)), np.zeros((len(CLASS_BITS), BUCKETS))
-        for b in batches:
-            for e, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                u, s = em_step(np.frombuffer(e, dtype=np.float32).reshape(len(CLASS_BITS), -1).astype(np.float64), np.frombuffer(x, dtype=np.uint8).reshape(len(CLASS_BITS), -1), weights)
-                used, seen = used + u, seen + s
-        k = np.arange(used.size, dtype=np.int32)
-        yield pa.record_batch([pa.array(k), pa.array(used.ravel()), pa.array(seen.ravel())], names=["at", "used", "seen"])
+def learn_weights(deleted: DataFrame, model: Model, terms: DataFrame, n: int, v: int, ends: int) -> tuple[np.ndarray, float, float]:
+    """Bigram weights by bucket, the unigram's weight against uniform, and the probability of an unknown word.
 
-    return run
-
-
-def train(texts: DataFrame, deleted: DataFrame) -> Model:
-    """A model from the column t of texts, with weights learned on the column t of deleted."""
-    spark = texts.sparkSession
-    counts = texts.select("t").mapInArrow(_count_bytes, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # at most 2^24 + 2^23 + 2^22 cells, whatever the input
-    k, cell, n = (got.column(i).to_numpy() for i in range(3))
-    model = Model([(cell[k == i].astype(np.int32), n[k == i].astype(np.float32)) for i in range(len(CLASS_BITS))], first_weights())
-    shared = spark.sparkContext.broadcast(model)
-    seen = written(deleted.select("t").mapInArrow(_observe(shared), "estimates binary, buckets binary"), "lm-deleted")
-    for _ in range(EM_STEPS):
-        sums = seen.mapInArrow(_expect(model.weights), "at int, used double, seen double").groupBy("at").agg(F.sum("used").alias("used"), F.sum("seen").alias("seen")).collect()
-        new = model.weights.copy().ravel()
-        for r in sums:
-            new[r.at] = (r.used + 0.5) / (r.seen + 1.0) if r.at % BUCKETS else 0.0
-        model.weights = np.minimum(new, 0.9999).reshape(model.weights.shape)
-    return model
+    Every token of the deleted texts meets its count in the other training texts.  The expectation sums are aggregates
+    over that table; a row per bucket reaches the driver in each step.
+    """
+    shared = deleted.sparkSession.sparkContext.broadcast(model)
+    rows = deleted.select("t").mapInArrow(_observe(shared), "term binary, per double, bucket int")
+    met = rows.join(terms.where("d > 0").select("term", (F.col("n") - F.col("d")).alias("c")), "term", "left")
+    met = met.select("per", "bucket", F.when(F.octet_length("term") == 0, F.lit(ends)).otherwise(F.coalesce("c", F.lit(0))).alias("c"))
+    seen = written(met, "lm-deleted")
+    known = seen.where("c > 0").select("bucket", (F.col("per") * F.col("c")).alias("p2"), (F.col("c") / float(max(n, 1))).alias("p1"))
+    count = seen.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("c") == 0).cast("long")).alias("new")).first()
+    unknown = ((count.new or 0) + 0.5) / (count["all"] + 1.0)
+    two, one = np.full(BUCKETS, 0.5), 0.9
+    two[0] = 0.0
+    for _ in range(EM_STEPS if count["all"] else 0):
+        weight = F.element_at(F.lit(two.tolist()), F.col("bucket") + 1)
+        w2, w1, w0 = weight * F.col("p2"), (1 - weight) * one * F.col("p1"), (1 - weight) * (1 - one) / max(v, 1)
+        got = known.groupBy("bucket").agg(F.sum(w2 / (w2 + w1 + w0)).alias("a"), F.sum(w1 / (w2 + w1 + w0)).alias("b"), F.count(F.lit(1)).alias("n")).collect()
+        for r in got:
+            two[r.bucket] = (r.a + 0.5) / (r.n + 1.0) if r.bucket else 0.0
+        a, b, m = (sum(x) for x in zip(*((r.a, r.b, r.n) for r in got), strict=True)) if got else (0.0, 0.0, 0)
+        one = min(0.9999, (b + 0.5) / (m - a + 1.0))
+    return np.minimum(two, 0.9999), one, unknown
 
 
 def _score(shared):
-    """Sums over the head's tokens, and the tail's tokens with their spelling's log10 probability."""
+    """Sums over the head's tokens, and the tail's tokens with their context figures."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, head, share, n, end = shared.value
+        model, head, two, one, unknown, n, v, ends = shared.value
+        cls = Classes(model.own)
         part, number = TaskContext.get().partitionId() << 40, itertools.count()
         for b in batches:
-            ids, sums, words, tails, spelled, scores = [], [], [], [], [], []
-            for texts in lines_of(b.column(2).to_pylist()):
-                logs, at = model.log10(texts), 0
-                for t in texts:
-                    terms = t.split()
-                    own, at = logs[at : at + len(terms) + 1], at + len(terms) + 1
-                    c = np.array([head.get(w, -1) for w in terms] + [end], dtype=np.float64)
-                    known = c >= 0
-                    c, rare = c[known], np.flatnonzero(~known)
-                    sums.append(float(np.log10(c + 1).sum()))
-                    scores.append(float(np.log10(share * c / max(n, 1) + (1 - share) * 10.0 ** own[known]).sum()))
-                    tails.append([terms[i] for i in rare])
-                    spelled.append(own[rare].tolist())
-                    words.append(len(terms))
-                    ids.append(part + next(number))
+            ids, sums, words, tails, pers, weights, scores = [], [], [], [], [], [], []
+            for t in b.column(2).to_pylist():
+                terms = words_of(t)
+                per, bucket = model.context(list(map(cls.__getitem__, terms)))
+                weight = two[bucket]
+                c = np.array([head.get(w, -1) for w in terms] + [ends], dtype=np.float64)
+                at, rare = np.flatnonzero(c >= 0), np.flatnonzero(c < 0)
+                k, w = c[at], weight[at]
+                p = np.where(k > 0, (1 - unknown) * (w * per[at] * k + (1 - w) * (one * k / max(n, 1) + (1 - one) / max(v, 1))), unknown)
+                sums.append(float(np.log10(k + 1).sum()))
+                scores.append(float(np.log10(p).sum()))
+                tails.append([terms[i] for i in rare])
+                pers.append(per[rare])
+                weights.append(weight[rare])
+                words.append(len(terms))
+                ids.append(part + next(number))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(spelled, pa.list_(pa.float32()))],
-                names=["rid", "doc_id", "held_out", "words", "head_sum", "head_score", "tail", "spelled"],
+                [pa.array(ids, pa.int64()), b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(pers, pa.list_(pa.float64())), pa.array(weights, pa.list_(pa.float64()))],
+                names=["rid", "doc_id", "held_out", "words", "head_sum", "head_score", "tail", "per", "weight"],
             )
 
     return run
 
 
-def _spell(shared):
-    def run(batches):
-        for b in batches:
-            for texts in lines_of(b.column(0).to_pylist()):
-                logs = shared.value.log10(texts)
-                terms = [w for t in texts for w in (*t.split(), b"")]
-                yield pa.record_batch([pa.array(terms, pa.binary()), pa.array(logs)], names=["term", "spelled"])
-
-    return run
-
-
-def token_share(deleted: DataFrame, model: Model, terms: DataFrame, n: int) -> float:
-    """The weight of a token's own frequency against its spelling, by expectation-maximisation on the deleted texts.
-
-    Counts leave out the deleted texts; ends are left to the spelling here, one a text.
-    """
-    spark = deleted.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = deleted.select("t").mapInArrow(_spell(shared), "term binary, spelled double").where("octet_length(term) > 0")
-    seen = written(rows.join(terms.where("d > 0"), "term").select((F.col("n") - F.col("d")).alias("c"), F.pow(F.lit(10.0), "spelled").alias("p")), "lm-shares")
-    own = F.col("c") / F.lit(float(max(n, 1)))
-    share = 0.5
-    for _ in range(EM_STEPS):
-        got = seen.agg(F.sum(share * own / (share * own + (1 - share) * F.col("p"))).alias("used"), F.count(F.lit(1)).alias("seen")).first()
-        share = ((got.used or 0.0) + 0.5) / (got.seen + 1.0)
-    return min(share, 0.9999)
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held: int = 2, head_terms: int = HEAD_TERMS, deleted: int = DELETED) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null counts as the empty text, which has the end token alone.  Documents whose crc32(id) mod parts is held teach
     nothing.  Repeated rows each count and are each scored; other columns of docs are not read.  An empty table gives
-    an empty result; without training documents counts are 0 and the spelling is uniform.
+    an empty result; without training documents every token is unknown.
     """
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, parts) == held).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     training = texts.where(~F.col("held_out")).withColumn("apart", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(deleted)) == 0)
-    away = training.where("apart")
-    model = train(training.where("not apart"), away)
     counted = training.select("t", "apart").mapInArrow(_count_words, "term binary, n long, d long")
     terms = written(counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "lm-words")
     total = terms.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("v")).first()
-    ends = training.count()
-    n, v = (total.n or 0) + ends, total.v + (ends > 0)
-    share = token_share(away, model, terms, (total.n or 0) - (total.d or 0))
-    shared = spark.sparkContext.broadcast((model, to_map(head_of(terms, head_terms), "n"), share, n, ends))
-    rows = written(texts.select("doc_id", "held_out", "t").mapInArrow(_score(shared), "rid long, doc_id long, held_out boolean, words long, head_sum double, head_score double, tail array<binary>, spelled array<float>"), "lm-scores")
-    pairs = rows.select("rid", F.explode(F.arrays_zip("tail", "spelled")).alias("x")).select("rid", F.col("x.tail").alias("term"), F.col("x.spelled").alias("spelled"))
+    end = training.agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("apart").cast("long")).alias("apart")).first()
+    n, v = (total.n or 0) + end["all"], total.v + (end["all"] > 0)
+    head = to_map(head_of(terms, head_terms), "n")
+    own = {w: i + 1 for i, w in enumerate(sorted(head, key=lambda w: (-head[w], w))[:OWN])}
+
+    cells = training.where("not apart").select("t").mapInArrow(_count_classes(share(own)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2^22 rows at most
+    model = Model(own, cells.column(0).to_numpy(), cells.column(1).to_numpy().astype(np.float64))
+    left = n - (total.d or 0) - (end.apart or 0)
+    two, one, unknown = learn_weights(training.where("apart"), model, terms, left, v, end["all"] - (end.apart or 0))
+    if not n:
+        unknown = 1.0
+    # The tables hold counts of the texts left in; scores use counts of all training texts, scaled to these.
+    model.n = model.n * (n / left if left > 0 else 1.0)
+    fixed = share((model, head, two, one, unknown, n, v, end["all"]))
+    rows = written(texts.select("doc_id", "held_out", "t").mapInArrow(_score(fixed), "rid long, doc_id long, held_out boolean, words long, head_sum double, head_score double, tail array<binary>, per array<double>, weight array<double>"), "lm-scores")
+    pairs = rows.select("rid", F.explode(F.arrays_zip("tail", "per", "weight")).alias("x")).select("rid", F.col("x.tail").alias("term"), F.col("x.per").cast("float").alias("per"), F.col("x.weight").cast("float").alias("weight"))
     met = pairs.join(terms.select("term", "n"), "term", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    mixed = share * F.col("c") / F.lit(float(max(n, 1))) + (1 - share) * F.pow(F.lit(10.0), "spelled")
-    tail = met.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("tail_sum"), F.sum(F.log10(mixed)).alias("tail_score"), F.sum((F.col("c") == 0).cast("long")).alias("unknown"))
+    w, c = F.col("weight").cast("double"), F.col("c")
+    p = F.when(c > 0, (1 - unknown) * (w * F.col("per") * c + (1 - w) * (one * c / float(max(n, 1)) + (1 - one) / float(max(v, 1))))).otherwise(F.lit(unknown))
+    tail = met.groupBy("rid").agg(F.sum(F.log10(c + 1)).alias("tail_sum"), F.sum(F.log10(p)).alias("tail_score"), F.sum((c == 0).cast("long")).alias("new"))
     tokens = F.col("words") + 1
     base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - tokens * math.log10(n + v + 1)
-    known = tokens - F.coalesce("unknown", F.lit(0)) - int(ends == 0)
+    known = tokens - F.coalesce("new", F.lit(0)) - int(end["all"] == 0)
     score = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
-    return rows.drop("tail", "spelled").join(tail, "rid", "left").select("doc_id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    return rows.drop("tail", "per", "weight").join(tail, "rid", "left").select("doc_id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
