@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The head holds so many terms at most (about 100 MB as a dict) ...
-HEAD_TERMS = 600_000
+#: The head holds so many terms at most (about 50 MB as a dict) ...
+HEAD_TERMS = 300_000
 #: ... of so many bytes each at most.
 HEAD_BYTES = 40
 

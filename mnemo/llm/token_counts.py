@@ -54,8 +54,8 @@ def _term_counts(name: str):
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(split(t)[0])
-            if len(seen) > 1_000_000:
-                yield _flat(seen)
+            if len(seen) > 250_000:
+                yield from _flats(seen)
                 seen = Counter()
         if seen:
             yield from _flats(seen)
