@@ -45,7 +45,7 @@ class Classes(dict):
 
     def __missing__(self, word: bytes) -> int:
         k = OWN + 1 + crc32(word) % HASHED
-        if len(self) < 500_000 and len(word) <= 40:
+        if len(self) < 200_000 and len(word) <= 40:
             self[word] = k
         return k
 
@@ -55,7 +55,7 @@ def _count_words(batches):
     for b in batches:
         for t, apart in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen[apart].update(words_of(t))
-        if len(seen[0]) > 1_000_000:
+        if len(seen[0]) > 250_000:
             yield from _word_rows(seen)
             seen = (Counter(), Counter())
     yield from _word_rows(seen)
