@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemo.llm import exact_dedup, language_model, mixing, near_join, quality, sampled_pieces, token_counts, toxicity
+from mnemo.llm import exact_dedup, html_text, language_model, mixing, near_join, quality, sampled_pieces, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_lm_scoring": language_model.op4_lm_scoring,
     "op5_ngram_jaccard_join": near_join.op5_ngram_jaccard_join,
     "op10_sentencepiece": sampled_pieces.op10_sentencepiece,
+    "op6_html_extraction": html_text.op6_html_extraction,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
