@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mnemo.llm import exact_dedup, html_text, language_model, mixing, near_join, quality, sampled_pieces, token_counts, toxicity
+from mnemo.llm import exact_dedup, html_text, language_model, mixing, near_join, quality, sampled_pieces, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_lm_scoring": language_model.op4_lm_scoring,
     "op5_ngram_jaccard_join": near_join.op5_ngram_jaccard_join,
