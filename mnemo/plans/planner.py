@@ -51,8 +51,17 @@ def vector_of(e: tuple, params: dict) -> list[float]:
 class Scope:
     """Which columns a query sees: (alias, columns) per input, in order."""
 
-    def __init__(self, inputs: list[tuple[str | None, list[str]]]):
-        self.inputs = inputs
+    def __init__(self, inputs: list[tuple[str | None, list[str]]], types: dict[str, str] | None = None):
+        self.inputs, self.types = inputs, types or {}
+
+    def whole(self, e: tuple, params: dict) -> bool:
+        """Whether an expression is an integer."""
+        if e[0] in ("lit", "param"):
+            v = constant(e, params)
+            return isinstance(v, int) and not isinstance(v, bool)
+        if e[0] == "col":
+            return self.types.get(e[2]) in ("bigint", "int")
+        return e[0] in ("neg", "+", "-", "*", "/") and all(self.whole(x, params) for x in e[1:])
 
     def find(self, qualifier: str | None, name: str) -> Column:
         if qualifier is not None:
@@ -148,13 +157,14 @@ class Planner:
             rows, scope, base = spark.range(1).drop("id"), Scope([]), None
         else:
             df, alias, base = self.source(s["from"])
-            inputs = [(alias, df.columns)]
+            inputs, types = [(alias, df.columns)], dict(df.dtypes)
             rows = df.alias(alias)
             for how, right, on in s["joins"]:
                 other, name, _ = self.source(right)
                 inputs.append((name, other.columns))
+                types |= dict(other.dtypes)
                 rows = rows.join(other.alias(name), self.expr(on, Scope(inputs)), "left" if how == "left" else "inner")
-            scope = Scope(inputs)
+            scope = Scope(inputs, types)
         rows = self._where(rows, s["where"], scope)
         if s["items"] and any(e[0] == "call" and e[1] == "count" for e, _ in s["items"]):
             return self._counts(rows, s, scope)
@@ -310,7 +320,7 @@ class Planner:
             a, b = sub(e[1]), sub(e[2])
             return a + b if kind == "+" else a - b if kind == "-" else a * b
         if kind == "/":
-            return _divide(sub(e[1]), sub(e[2]))
+            return P.divide(sub(e[1]), sub(e[2]), scope.whole(e[1], self.params) and scope.whole(e[2], self.params))
         if kind == "cmp":
             a, b = sub(e[2]), sub(e[3])
             return {"=": a == b, "!=": a != b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[e[1]]
@@ -337,13 +347,6 @@ class Planner:
         raise E.ParseError(f"{kind} cannot stand here")
 
 
-def _divide(a: Column, b: Column) -> Column:
-    """Truncating where both sides are integers; the types are known to Catalyst only, so both forms are folded by it."""
-    whole = F.typeof(a).isin("int", "bigint") & F.typeof(b).isin("int", "bigint")
-    exact = a.cast("double") / b.cast("double")
-    return F.when(whole, F.call_function("div", a.cast("long"), b.cast("long")).cast("double")).otherwise(exact)
-
-
 def anchor_column(meta: dict, table: str, other: dict, on: str) -> str:
     """The column of the anchor table that meets the joined table's column."""
     names = [c["name"] for c in meta["columns"]]

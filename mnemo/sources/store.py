@@ -85,13 +85,12 @@ class Store:
 
     def add_rows(self, state: dict, table: str, rows: DataFrame, lsn: int, created: int | None = None) -> dict | None:
         """Write rows as a part with new row ids; None where there are none."""
-        width = rows.rdd.getNumPartitions() if rows.isStreaming is False else 1
         base = state["next_row"]
         part = {"path": f"{self.path}/parts/{table}/{uuid.uuid4().hex}", "kind": "rows", "lsn": lsn}
         now = created if created is not None else int(time.time() * 1000)
         numbered = rows.select(*[f.name for f in schema_of(state["tables"][table])], (F.lit(base) + F.monotonically_increasing_id()).alias("__row_id"), F.lit(lsn).cast("long").alias("__lsn"), F.lit(now).cast("long").alias("__created_at"))
         numbered.write.parquet(part["path"])
-        state["next_row"] = base + (max(1, width) << 33)
+        state["next_row"] = (self.spark.read.parquet(part["path"]).agg(F.max("__row_id")).first()[0] or base) + 1
         state["parts"].setdefault(table, []).append(part)
         return part
 
@@ -106,18 +105,23 @@ class Store:
         meta = state["tables"][table]
         parts = [p for p in state["parts"].get(table, []) if lsn is None or p["lsn"] <= lsn]
         schema = T.StructType([*schema_of(meta).fields, *_HIDDEN])
-        renamed = meta.get("renamed", {})
+        renamed = meta.get("renamed", [])
         rows, graves = [p for p in parts if p["kind"] == "rows"], [p["path"] for p in parts if p["kind"] == "graves"]
         if not rows:
             return self.spark.createDataFrame([], schema)
         if not renamed:
             df = self.spark.read.schema(schema).parquet(*[p["path"] for p in rows])
-        else:  # parts written before a column was renamed hold it under its old name
+        else:  # parts from before a column was renamed hold it under its old name
             frames = []
             for p in rows:
-                names = {n["to"]: n["from"] for n in renamed if p["lsn"] < n["lsn"]}
-                stored = T.StructType([T.StructField(names.get(f.name, f.name), f.dataType) for f in schema.fields])
-                frames.append(self.spark.read.schema(stored).parquet(p["path"]).toDF(*schema.names))
+                stored = []
+                for f in schema.fields:
+                    name = f.name
+                    for n in reversed(renamed):
+                        if n["to"] == name and p["lsn"] < n["lsn"]:
+                            name = n["from"]
+                    stored.append(T.StructField(name, f.dataType))
+                frames.append(self.spark.read.schema(T.StructType(stored)).parquet(p["path"]).toDF(*schema.names))
             df = frames[0]
             for f in frames[1:]:
                 df = df.unionByName(f)
