@@ -96,29 +96,37 @@ def _runs(texts: list[bytes], most: int = RUN_BYTES):
 
 
 def _find_anchors(batches):
+    """The different anchors of each text and how many runs of windows each has."""
     for b in batches:
         texts = [t.encode("utf-8", "surrogatepass") for t in b.column(3).to_pylist()]
         for at, own in _runs(texts):
-            who, h, q, n, lead = anchors(own)
-            ends = np.searchsorted(who, np.arange(len(own) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (h, q.astype(np.int32), n.astype(np.int32), lead.astype(np.int32))]
+            who, h, *_ = anchors(own)
+            names, times, ends = [], [], [0]
+            for k in range(len(own)):
+                lo, hi = np.searchsorted(who, [k, k + 1])
+                n, c = np.unique(h[lo:hi], return_counts=True)
+                names.append(n)
+                times.append(c)
+                ends.append(ends[-1] + len(n))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x).astype(kind))) for x, kind in ((names, np.int64), (times, np.int64))]
             some = b.slice(at, len(own))
             digest = pa.array([hashlib.sha256(t).digest() for t in own], pa.binary())
-            yield pa.record_batch([some.column(0), some.column(1), some.column(2), pa.array([len(t) for t in own], pa.int64()), digest, *lists], names=["doc_id", "k1", "k2", "n_bytes", "sha", "anchor", "q", "n", "lead"])
+            yield pa.record_batch([some.column(0), some.column(1), some.column(2), pa.array([len(t) for t in own], pa.int64()), digest, *lists], names=["doc_id", "k1", "k2", "n_bytes", "sha", "anchor", "times"])
 
 
 def _cut(batches):
-    """Contexts of each text, equal ones of a text folded: (k1, k2, anchor, lead, n, context, starts)."""
+    """Contexts of each text at its anchors in `again`, equal ones of a text folded: (k1, k2, anchor, lead, n, context, starts)."""
     names = ["k1", "k2", "anchor", "lead", "n", "context", "starts"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
     for b in batches:
-        for k1, k2, t, runs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for k1, k2, t, again in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             raw, found = t.encode("utf-8", "surrogatepass"), {}
-            for r in runs:
-                found.setdefault((r["anchor"], r["lead"], r["n"], raw[r["q"] : r["q"] + r["n"] + LENGTH - 1]), []).append(r["q"])
+            _, h, q, n, lead = anchors([raw])
+            for i in np.flatnonzero(np.isin(h, np.array(again, dtype=np.int64))).tolist():
+                found.setdefault((int(h[i]), int(lead[i]), int(n[i]), raw[q[i] : q[i] + n[i] + LENGTH - 1]), []).append(int(q[i]))
             cols = [[], [], [], [], [], [], []]
-            for (anchor, lead, n, context), starts in found.items():
-                for c, x in zip(cols, (k1, k2, anchor, lead, n, context, starts), strict=True):
+            for (anchor, before, many, context), starts in found.items():
+                for c, x in zip(cols, (k1, k2, anchor, before, many, context, starts), strict=True):
                     c.append(x)
             yield pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
 
@@ -279,18 +287,18 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     texts = texts.select("doc_id", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(2), "t").alias("k2"), "t")
-    schema = "doc_id long, k1 long, k2 long, n_bytes long, sha binary, anchor array<long>, q array<int>, n array<int>, lead array<int>"
+    schema = "doc_id long, k1 long, k2 long, n_bytes long, sha binary, anchor array<long>, times array<long>"
     found = written(texts.mapInArrow(_find_anchors, schema), "suffix-anchors")
     copies = written(found.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "suffix-copies")
 
     one = found.where(F.size("anchor") > 0).join(copies, (found["doc_id"].eqNullSafe(F.col("rep"))) & (found["k1"] == copies["k1"]) & (found["k2"] == copies["k2"]), "left_semi")
-    each = one.select("k1", "k2", F.explode(F.arrays_zip("anchor", "q", "n", "lead")).alias("w"))
-    again = each.groupBy(F.col("w.anchor").alias("again")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("again")
-    kept = each.join(again, F.col("w.anchor") == F.col("again"), "left_semi")
-    runs = kept.groupBy("k1", "k2").agg(F.collect_list("w").alias("runs"))  # at most a row per window of one text
-    lists = runs.join(copies.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "rep", "runs")
+    each = one.select("k1", "k2", F.explode(F.arrays_zip("anchor", "times")).alias("w")).select("k1", "k2", "w.anchor", "w.times")
+    again = each.groupBy(F.col("anchor").alias("again")).agg(F.sum("times").alias("c")).where("c > 1").select("again")
+    kept = each.join(again, F.col("anchor") == F.col("again"), "left_semi")
+    lists = kept.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("again"))  # at most a row per anchor of one text
+    lists = lists.join(copies.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "rep", "again")
     same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    held = written(texts.join(lists, same).select("k1", "k2", "t", "runs").dropDuplicates(["k1", "k2"]), "suffix-texts")
+    held = written(texts.join(lists, same).select("k1", "k2", "t", "again").dropDuplicates(["k1", "k2"]), "suffix-texts")
 
     cut = held.mapInArrow(_cut, "k1 long, k2 long, anchor long, lead int, n int, context binary, starts array<int>")
     cut = written(cut.withColumn("digest", F.unhex(F.sha2("context", 256))), "suffix-contexts")
