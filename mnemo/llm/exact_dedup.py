@@ -91,4 +91,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLE = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
+select d.doc_id, g.keep_id, g.group_size, d.doc_id is not distinct from g.keep_id as kept, sha256(d.t) as text_sha256 from d join g on d.t = g.t
+"""

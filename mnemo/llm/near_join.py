@@ -250,3 +250,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_links(table(spark, sf_dir, "documents"))
+
+
+#: Brute force: every pair that shares an n-gram.
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select distinct doc_id, case when len(w) < 5 then w else w[i:i + 4] end as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n, md5(string_agg(md5(g::varchar), ',' order by md5(g::varchar))) as k from g group by doc_id),
+c as (select doc_id, n, min(doc_id) over (partition by k) as rep, count(*) over (partition by k) as copies from n),
+reps as (select rep, n, copies from c where doc_id = rep),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as meet from g a join g b on a.g = b.g and a.doc_id <> b.doc_id join reps ra on ra.rep = a.doc_id join reps rb on rb.rep = b.doc_id group by 1, 2),
+e as (select a, b, rb.copies as copies from p join reps ra on ra.rep = a join reps rb on rb.rep = b where meet * 1000 >= 800 * (ra.n + rb.n - meet)),
+walk(a, b) as (select rep, rep from reps union select walk.a, e.b from walk join e on e.a = walk.b),
+cls as (select a, min(b) as class_id from walk group by a),
+l as (select a, sum(copies) as links from e group by a)
+select d.doc_id, coalesce(class_id, d.doc_id) as class_id, (coalesce(links, 0) + coalesce(c.copies, 1) - 1)::bigint as n_links, coalesce(c.rep, d.doc_id) as rep_id, coalesce(c.copies, 1) as copies, coalesce(c.n, 0) as n_grams
+from documents d left join c on c.doc_id = d.doc_id left join cls on cls.a = c.rep left join l on l.a = c.rep
+"""

@@ -150,4 +150,31 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_figures(table(spark, sf_dir, "documents"))
+    rows = quality_figures(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """DuckDB SQL of op8, from the same threshold table."""
+    per = lambda a, b: f"(case when {b} > 0 then {a} / {b} else 0 end)"
+    terms = {
+        "n_words": "n_words", "mean_word_chars": per("word_chars", "n_words"), "symbols_per_word": per("n_symbols", "n_words"), "shouts_per_word": per("n_shouts", "n_words"),
+        "stop_word_ratio": per("n_stop_words", "n_words"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "ellipsis_line_ratio": per("n_ellipsis_lines", "n_lines"), "repeat_word_ratio": per("n_repeat_words", "n_words"),
+    }
+    rules = [f"{terms[r.metric]} >= {r.low}" for r in RULES if r.low is not None] + [f"{terms[r.metric]} <= {r.high}" for r in RULES if r.high is not None]
+    stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS.split())))
+    ws = r"[\x20\x09-\x0D]"
+    return rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+b as (select doc_id, t, list_filter(string_split_regex(t, '{ws}+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+p as (select doc_id, unnest(w) as a, generate_subscripts(w, 1) as i from b),
+g as (select doc_id, i, a, lead(a) over o as b, lead(a, 2) over o as c from p window o as (partition by doc_id order by i)),
+r as (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from g where c is not null),
+v as (select doc_id, count(distinct i + k) as n_repeat_words from r, (values (0), (1), (2)) z(k) where n > 1 group by doc_id),
+m as (select b.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+ len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(regexp_extract_all(t, '!')) as n_shouts,
+ len(list_filter(w, lambda x: x in ({stops}))) as n_stop_words, len(regexp_extract_all(t, '\.\.\.[\x20\t]*(?:\n|$)')) as n_ellipsis_lines
+ from b left join v on b.doc_id = v.doc_id),
+f as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(rules)} as kept from f
+"""

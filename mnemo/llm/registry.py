@@ -17,4 +17,9 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others have no SQL: suffix sorting, learned scores, rendering, tokenizers and seeded draws; their tests are brute force.
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op5_ngram_jaccard_join": near_join.ORACLE,
+    "op8_quality_rules": quality.oracle(),
+}
