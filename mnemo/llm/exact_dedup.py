@@ -86,8 +86,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs whose text has no equal with a larger id; all columns stay, whatever their names."""
     groups = exact_groups(docs, id_col, text_col, capacity)
-    lost = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__lost_id")).distinct()
-    return docs.join(lost, docs[id_col] == lost["__lost_id"], "left_anti")
+    lost = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__lost_id"), F.col("text_sha256").alias("__lost_sha")).distinct()
+    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost_id"]) & (sha == lost["__lost_sha"]), "left_anti")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
