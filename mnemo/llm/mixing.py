@@ -145,7 +145,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: each row of docs as often as it is taken, all columns kept, in shards, shuffled within each."""
     plan = mix_plan(docs, id_col, text_col, source_col, shards, seed).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.first("shards").alias("__shards"))
     dealt = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).withColumn("__shard", F.explode("__shards"))
-    dealt = dealt.repartition("__shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(4))).sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__id", "__shard"))
+    parts = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))  # pieces of a shard, so that all partitions have work
+    dealt = dealt.repartition("__shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts))).sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__id", "__shard"))
     return dealt.drop("__id", "__shards", "__shard")
 
 
