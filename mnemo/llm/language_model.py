@@ -148,6 +148,7 @@ def learn_weights(deleted: DataFrame, model: Model, terms: DataFrame, n: int, v:
     met = rows.join(terms.where("d > 0").select("term", (F.col("n") - F.col("d")).alias("c")), "term", "left")
     met = met.select("per", "bucket", F.when(F.octet_length("term") == 0, F.lit(ends)).otherwise(F.coalesce("c", F.lit(0))).alias("c"))
     seen = written(met, "lm-deleted")
+    shared.destroy()
     known = seen.where("c > 0").select("bucket", (F.col("per") * F.col("c")).alias("p2"), (F.col("c") / float(max(n, 1))).alias("p1"))
     count = seen.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("c") == 0).cast("long")).alias("new")).first()
     unknown = ((count.new or 0) + 0.5) / (count["all"] + 1.0)
@@ -227,6 +228,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     model.n = model.n * (n / left if left > 0 else 1.0)
     fixed = share((model, head, two, one, unknown, n, v, end["all"]))
     rows = written(texts.select("doc_id", "held_out", "t").mapInArrow(_score(fixed), "rid long, doc_id long, held_out boolean, words long, head_sum double, head_score double, tail array<binary>, per array<double>, weight array<double>"), "lm-scores")
+    fixed.destroy()  # reused workers would keep the head
     pairs = rows.select("rid", F.explode(F.arrays_zip("tail", "per", "weight")).alias("x")).select("rid", F.col("x.tail").alias("term"), F.col("x.per").cast("float").alias("per"), F.col("x.weight").cast("float").alias("weight"))
     met = pairs.join(terms.select("term", "n"), "term", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     w, c = F.col("weight").cast("double"), F.col("c")

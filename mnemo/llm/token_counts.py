@@ -7,6 +7,7 @@ the frequent head is a bounded broadcast, the tail a shuffled join (see pieces.p
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import pyarrow as pa
@@ -74,10 +75,13 @@ def _flats(seen: Counter, rows: int = 100_000):
 
 def _piece_counts(name: str):
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tok = load_tokenizer(name)
-        for b in batches:
-            enc = tok.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(e.ids) for e in enc], pa.int64())], names=["term", "n", "pieces"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):  # encodings of a few terms at a time
+                b = whole.slice(i, 1000)
+                counts = [len(e.ids) for e in tok.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["term", "n", "pieces"])
 
     return run
 
@@ -123,6 +127,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     head = head_of(terms, head_terms)
     shared = spark.sparkContext.broadcast(to_map(head, "pieces"))
     per_doc = written(texts.mapInArrow(_per_document(name, shared), "rid long, doc_id long, n_bytes long, head_tokens long, tail array<string>"), "pre-token-tails")
+    shared.destroy()  # reused workers would keep the head
     tail = per_doc.select("rid", F.explode("tail").alias("term")).join(terms.select("term", "pieces"), "term")
     tail = tail.groupBy("rid").agg(F.sum("pieces").alias("tail_tokens"))
     total = F.col("head_tokens") + F.coalesce("tail_tokens", F.lit(0))
