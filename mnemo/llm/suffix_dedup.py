@@ -60,6 +60,17 @@ def _gram_hashes(buf: np.ndarray, size: int = GRAM) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _least_places(h: np.ndarray) -> np.ndarray:
+    """For each window of at most 2^24 hashes, the place of the least one; of equal hashes the last."""
+    least = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
+    width = 1
+    while 2 * width <= SPAN:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[: len(least) - (SPAN - width)], least[SPAN - width :])
+    return (_LOW - (least & _LOW)).astype(np.int64)
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows: (text number, anchor hash, first window, number of windows, anchor's place after the first window)."""
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -68,13 +79,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     h = _gram_hashes(buf)
     if len(h) < SPAN:
         return (np.zeros(0, dtype=np.int64),) * 5
-    least = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))  # of equal hashes the last
-    width = 1
-    while 2 * width <= SPAN:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: len(least) - (SPAN - width)], least[SPAN - width :])
-    at = (_LOW - (least & _LOW)).astype(np.int64)
+    step = int(_LOW) + 2 - SPAN  # windows of a slice whose places fit in _LOW; slices overlap by SPAN - 1 hashes
+    at = np.concatenate([_least_places(h[i : i + step + SPAN - 1]) + i for i in range(0, len(h) - SPAN + 1, step)])
     windows = np.maximum(sizes - LENGTH + 1, 0)
     owner = np.repeat(np.arange(len(texts)), windows)
     q = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[owner]

@@ -92,6 +92,20 @@ def test_suffix_array_order():
         assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
 
 
+def test_anchors_beyond_field(monkeypatch):
+    """The field of places narrowed from 2^24 to 2^10 bytes: anchors of a longer text stay those of its windows alone."""
+    raw = np.random.Generator(np.random.PCG64(9)).integers(97, 123, 6000).astype(np.uint8).tobytes()
+    raw = raw[:300] + raw[4000:4700] + raw[1000:]  # one passage of 700 bytes twice, the second time beyond the field
+    monkeypatch.setattr(suffix_dedup, "_LOW", np.uint64((1 << 10) - 1))
+    texts = [raw[:900], raw]
+    who, h, first, many, lead = suffix_dedup.anchors(texts)
+    got = [(int(k), int(q) + j, int(x), int(p) - j) for k, x, q, n, p in zip(who, h, first, many, lead, strict=True) for j in range(n)]
+    assert [(k, q) for k, q, _, _ in got] == [(k, q) for k, t in enumerate(texts) for q in range(len(t) - 399)]
+    for k, q, x, p in got[::37]:
+        (_, (y, *_), _, _, (o, *_)) = suffix_dedup.anchors([texts[k][q : q + 400]])
+        assert (x, p) == (y, o)
+
+
 @pytest.mark.parametrize("most", [1500, 2])
 def test_suffix_dedup(spark, docs, most):
     rows = [(i, t) for i, t in texts(docs) if len(t) < 6000][:110]
