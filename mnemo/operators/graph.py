@@ -7,6 +7,7 @@ few levels, so plans stay small and a lost executor costs a few levels at most.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,12 +111,15 @@ def match(edges: DataFrame, starts: DataFrame, steps: list[Step], start_name: st
     return rows.select(start_name, *names, F.col(last).alias("id"), "depth")
 
 
-def reaches(edges: DataFrame, pairs: DataFrame, edge_type: str, most: int = 64) -> DataFrame:
-    """The (source_id, target_id) rows of pairs whose target already leads to the source: edges that would close a cycle."""
+def reaches(edges: DataFrame, pairs: DataFrame, edge_type: str) -> DataFrame:
+    """The (source_id, target_id) rows of pairs whose target already leads to the source: edges that would close a cycle.
+
+    Paths of any length count: the search ends when nothing new is reached.
+    """
     hops = adjacency(edges, [edge_type], "out")
     seen = pairs.select(F.col("source_id"), F.col("target_id"), F.col("target_id").alias("node")).distinct()
     frontier = seen
-    for depth in range(most):
+    for depth in count():
         step = frontier.join(hops, F.col("node") == F.col("a")).select("source_id", "target_id", F.col("b").alias("node")).distinct()
         frontier = cut(step.join(seen, ["source_id", "target_id", "node"], "left_anti"), "cycle")
         if not frontier.take(1):

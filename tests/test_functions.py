@@ -73,3 +73,9 @@ def test_change_policies(spark):
     assert get("EdgeWins") == [(1, "r"), (2, "r"), (3, "r")]
     assert changes.conflicts(local, feed, ["k"], "InsertIfNotExists").count() == 0
     assert changes.remapped("ServerWins") == "EdgeWins"
+
+
+def test_reaches_long_path(spark):
+    edges = spark.range(70).selectExpr("cast(id as string) as source_id", "cast(id + 1 as string) as target_id", "'x' as edge_type")
+    pair = spark.createDataFrame([("70", "0"), ("71", "0")], "source_id string, target_id string")
+    assert [tuple(r) for r in graph.reaches(edges, pair, "x").collect()] == [("70", "0")]
