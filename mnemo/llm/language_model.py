@@ -1,13 +1,15 @@
 """LM scoring by deleted interpolation.
 
 Tokens are the lower-cased words of a text and its end; events are the words of the training texts and one class for all
-others, as in the baseline.  Three maximum-likelihood levels are mixed: uniform, unigram, and a bigram of word classes
-(a frequent word is its own class, the others share classes by a hash, so that the bigram table in every task has a
-fixed size and still counts every training token).  The bigram's weight depends on the frequency bucket of its context.
+others, as in the baseline.  Three maximum-likelihood levels are mixed: uniform, unigram, and a bigram of words.  Every
+pair of neighbouring words is counted exactly, whatever its rank.  The bigram's weight depends on the frequency bucket of
+its context, the word before.
 A deleted part of the training texts stays out of the model's counts; on its counts expectation-maximisation learns the
-weights, and the share of tokens that are new there is the probability of an unknown word.
+weights, and the share of tokens that are new there is the probability of an unknown word.  Scores use the counts of all
+training texts.
 
-Word counts are exact and unbounded: see pieces.py for their bounded head and joined tail.
+Counts are unbounded: the most frequent pairs are held in every task, all others meet the table of pairs in a join; see
+pieces.py.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.common import fold_of, table, written
-from mnemo.llm.pieces import HEAD_TERMS, head_of, to_map
+from mnemo.llm.pieces import HEAD_TERMS, head_of
 
-#: Word classes: 0 is the end (and what stands before a text), then the most frequent words, then hashed classes.
-CLASSES, OWN = 2048, 1023
-HASHED = CLASSES - OWN - 1
 #: Frequency buckets of a context: 0, then octaves.
 BUCKETS = 48
 #: One training text in so many is deleted from the counts and teaches the weights.
@@ -40,16 +38,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-class Classes(dict):
-    """Word -> class; remembers a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        k = OWN + 1 + crc32(word) % HASHED
-        if len(self) < 200_000 and len(word) <= 40:
-            self[word] = k
-        return k
-
-
 def _count_words(batches):
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
@@ -69,95 +57,61 @@ def _word_rows(seen: tuple[Counter, Counter], rows: int = 100_000):
         yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
 
 
-def _count_classes(own):
-    """Bigram counts of classes, one row per used cell and task."""
-
-    def run(batches):
-        cls, sums = Classes(own.value), np.zeros(CLASSES * CLASSES, dtype=np.int64)
-        keep: list[int] = []
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                keep += [0, *map(cls.__getitem__, words_of(t)), 0, -1]
-                if len(keep) > 1_000_000:
-                    sums += _pairs(keep)
-                    keep = []
-        sums += _pairs(keep)
-        used = np.flatnonzero(sums)
-        for i in range(0, len(used), 100_000):
-            part = used[i : i + 100_000]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(sums[part])], names=["cell", "n"])
-
-    return run
-
-
-def _pairs(keep: list[int]) -> np.ndarray:
-    x = np.asarray(keep, dtype=np.int64)
-    a, b = x[:-1], x[1:]
-    ok = (a >= 0) & (b >= 0)
-    return np.bincount(a[ok] * CLASSES + b[ok], minlength=CLASSES * CLASSES)
-
-
-class Model:
-    """Class bigrams as sparse counts (dense once loaded) and the bigram's weight by context bucket."""
-
-    def __init__(self, own: dict[bytes, int], cell: np.ndarray, n: np.ndarray):
-        self.own, self.cell, self.n, self.dense = own, cell, n, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"dense": None}
-
-    def load(self) -> None:
-        if self.dense is None:
-            self.dense = np.zeros((CLASSES, CLASSES))
-            self.dense.ravel()[self.cell] = self.n
-            rows = self.dense.sum(axis=1)
-            self.bucket = np.where(rows > 0, 1 + np.log2(np.maximum(rows, 1)).astype(np.int64), 0)
-            self.within = np.maximum(self.dense.sum(axis=0), 1)  # tokens of a class
-            self.dense /= np.maximum(rows, 1)[:, None]
-
-    def context(self, classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """For the tokens of a text and its end: P(class | class before) / tokens of the class, and the bucket before."""
-        self.load()
-        x = np.asarray([0, *classes, 0], dtype=np.int64)
-        return self.dense[x[:-1], x[1:]] / self.within[x[1:]], self.bucket[x[:-1]]
+def _count_pairs(batches):
+    """Neighbouring words (ctx, term, n, d), an empty word before and after each text; pairs of held-out texts count 0."""
+    seen: tuple[Counter, ...] = (Counter(), Counter(), Counter())
+    for b in batches:
+        for t, held, apart in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            words = words_of(t)
+            seen[2 if held else apart].update(zip([b"", *words], [*words, b""], strict=True))
+            if sum(map(len, seen)) > 250_000:
+                yield from _pair_rows(seen)
+                seen = (Counter(), Counter(), Counter())
+    yield from _pair_rows(seen)
+
+
+def _pair_rows(seen: tuple[Counter, ...], rows: int = 100_000):
+    for counts, in_n, in_d in zip(seen, (1, 1, 0), (0, 1, 0), strict=True):
+        n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+        ctx, term = zip(*counts, strict=True) if counts else ((), ())
+        whole = pa.record_batch([pa.array(ctx, pa.binary()), pa.array(term, pa.binary()), pa.array(n * in_n), pa.array(n * in_d)], names=["ctx", "term", "n", "d"])
+        yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
 
 
-def _observe(shared):
-    """Each token of the deleted texts with its context figures; the end is an empty term."""
+def counted_pairs(texts: DataFrame, terms: DataFrame, ends: int, ends_apart: int) -> DataFrame:
+    """A row for every pair of any text: (ctx, term, n2, d2, nc, dc, n1, d1), training counts of the pair, of its context
+    and of its word, each in all training texts and in their deleted part."""
+    pairs = texts.select("t", "held_out", "apart").mapInArrow(_count_pairs, "ctx binary, term binary, n long, d long")
+    pairs = pairs.groupBy("ctx", "term").agg(F.sum("n").alias("n2"), F.sum("d").alias("d2"))
+    of = lambda key, n, d: terms.select(F.col("term").alias(key), F.col("n").alias(n), F.col("d").alias(d))
+    met = pairs.join(of("k1", "nc", "dc"), F.col("ctx") == F.col("k1"), "left").join(of("k2", "n1", "d1"), F.col("term") == F.col("k2"), "left")
+    count = lambda word, c, at_end: F.when(F.octet_length(word) == 0, F.lit(at_end)).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(c)
+    return met.select("ctx", "term", "n2", "d2", count("ctx", "nc", ends), count("ctx", "dc", ends_apart), count("term", "n1", ends), count("term", "d1", ends_apart))
 
-    def run(batches):
-        model = shared.value
-        cls = Classes(model.own)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                words = words_of(t)
-                per, bucket = model.context(list(map(cls.__getitem__, words)))
-                yield pa.record_batch([pa.array([*words, b""], pa.binary()), pa.array(per), pa.array(bucket.astype(np.int32))], names=["term", "per", "bucket"])
 
-    return run
+def _bucket(c):
+    return F.when(c > 0, F.length(F.bin(c))).otherwise(F.lit(0))
 
 
-def learn_weights(deleted: DataFrame, model: Model, terms: DataFrame, n: int, v: int, ends: int) -> tuple[np.ndarray, float, float]:
+def learn_weights(pairs: DataFrame, n: int, v: int) -> tuple[np.ndarray, float, float]:
     """Bigram weights by bucket, the unigram's weight against uniform, and the probability of an unknown word.
 
-    Every token of the deleted texts meets its count in the other training texts.  The expectation sums are aggregates
-    over that table; a row per bucket reaches the driver in each step.
+    Every pair of the deleted texts meets its counts in the other training texts, n tokens.  The expectation sums are
+    aggregates over that table; a row per bucket reaches the driver in each step.
     """
-    shared = deleted.sparkSession.sparkContext.broadcast(model)
-    rows = deleted.select("t").mapInArrow(_observe(shared), "term binary, per double, bucket int")
-    met = rows.join(terms.where("d > 0").select("term", (F.col("n") - F.col("d")).alias("c")), "term", "left")
-    met = met.select("per", "bucket", F.when(F.octet_length("term") == 0, F.lit(ends)).otherwise(F.coalesce("c", F.lit(0))).alias("c"))
-    seen = written(met, "lm-deleted")
-    shared.destroy()
-    known = seen.where("c > 0").select("bucket", (F.col("per") * F.col("c")).alias("p2"), (F.col("c") / float(max(n, 1))).alias("p1"))
-    count = seen.agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("c") == 0).cast("long")).alias("new")).first()
-    unknown = ((count.new or 0) + 0.5) / (count["all"] + 1.0)
+    before, c = F.col("nc") - F.col("dc"), F.col("n1") - F.col("d1")
+    p2 = F.when(before > 0, (F.col("n2") - F.col("d2")) / before).otherwise(F.lit(0.0))
+    seen = written(pairs.where("d2 > 0").select(_bucket(before).alias("bucket"), p2.alias("p2"), c.alias("c"), F.col("d2").alias("times")), "lm-deleted")
+    known = seen.where("c > 0").select("bucket", "p2", (F.col("c") / float(max(n, 1))).alias("p1"), "times")
+    count = seen.agg(F.sum("times").alias("all"), F.sum(F.when(F.col("c") == 0, F.col("times")).otherwise(F.lit(0))).alias("new")).first()
+    unknown = ((count.new or 0) + 0.5) / ((count["all"] or 0) + 1.0)
     two, one = np.full(BUCKETS, 0.5), 0.9
     two[0] = 0.0
     for _ in range(EM_STEPS if count["all"] else 0):
         weight = F.element_at(F.lit(two.tolist()), F.col("bucket") + 1)
         w2, w1, w0 = weight * F.col("p2"), (1 - weight) * one * F.col("p1"), (1 - weight) * (1 - one) / max(v, 1)
-        got = known.groupBy("bucket").agg(F.sum(w2 / (w2 + w1 + w0)).alias("a"), F.sum(w1 / (w2 + w1 + w0)).alias("b"), F.count(F.lit(1)).alias("n")).collect()
+        times = F.col("times") / (w2 + w1 + w0)
+        got = known.groupBy("bucket").agg(F.sum(w2 * times).alias("a"), F.sum(w1 * times).alias("b"), F.sum("times").alias("n")).collect()
         for r in got:
             two[r.bucket] = (r.a + 0.5) / (r.n + 1.0) if r.bucket else 0.0
         a, b, m = (sum(x) for x in zip(*((r.a, r.b, r.n) for r in got), strict=True)) if got else (0.0, 0.0, 0)
@@ -165,35 +119,38 @@ def learn_weights(deleted: DataFrame, model: Model, terms: DataFrame, n: int, v:
     return np.minimum(two, 0.9999), one, unknown
 
 
+def pair_scores(pairs: DataFrame, two: np.ndarray, one: float, unknown: float, n: int, v: int) -> DataFrame:
+    """(term, n, base, lp, new) by pair: both words with a space between, training count, logs of its word's count + 1 and
+    of its probability, and whether its word is unknown."""
+    c, weight = F.col("n1"), F.element_at(F.lit(two.tolist()), _bucket(F.col("nc")) + 1)
+    p2 = F.when(F.col("nc") > 0, F.col("n2") / F.col("nc")).otherwise(F.lit(0.0))
+    p = F.when(c > 0, (1 - unknown) * (weight * p2 + (1 - weight) * (one * c / float(max(n, 1)) + (1 - one) / float(max(v, 1))))).otherwise(F.lit(unknown))
+    return pairs.select(F.concat("ctx", F.lit(b" "), "term").alias("term"), F.col("n2").alias("n"), F.log10(c + 1).alias("base"), F.log10(p).alias("lp"), (c == 0).cast("long").alias("new"))
+
+
 def _score(shared):
-    """Sums over the head's tokens, and the tail's tokens with their context figures."""
+    """Sums over the head's pairs, and the pairs of the tail."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, head, two, one, unknown, n, v, ends = shared.value
-        cls = Classes(model.own)
+        head, base, lp = shared.value
         part, number = TaskContext.get().partitionId() << 40, itertools.count()
         for b in batches:
-            ids, sums, words, tails, pers, weights, scores = [], [], [], [], [], [], []
+            ids, sums, words, tails, scores = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 terms = words_of(t)
-                per, bucket = model.context(list(map(cls.__getitem__, terms)))
-                weight = two[bucket]
-                c = np.array([head.get(w, -1) for w in terms] + [ends], dtype=np.float64)
-                at, rare = np.flatnonzero(c >= 0), np.flatnonzero(c < 0)
-                k, w = c[at], weight[at]
-                p = np.where(k > 0, (1 - unknown) * (w * per[at] * k + (1 - w) * (one * k / max(n, 1) + (1 - one) / max(v, 1))), unknown)
-                sums.append(float(np.log10(k + 1).sum()))
-                scores.append(float(np.log10(p).sum()))
-                tails.append([terms[i] for i in rare])
-                pers.append(per[rare])
-                weights.append(weight[rare])
+                keys = [x + b" " + y for x, y in zip([b"", *terms], [*terms, b""], strict=True)]
+                at = np.array([head.get(k, -1) for k in keys], dtype=np.int64)
+                own = at[at >= 0]
+                sums.append(float(base[own].sum()))
+                scores.append(float(lp[own].sum()))
+                tails.append([keys[i] for i in np.flatnonzero(at < 0)])
                 words.append(len(terms))
                 ids.append(part + next(number))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(pers, pa.list_(pa.float64())), pa.array(weights, pa.list_(pa.float64()))],
-                names=["rid", "doc_id", "held_out", "words", "head_sum", "head_score", "tail", "per", "weight"],
+                [pa.array(ids, pa.int64()), b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.binary()))],
+                names=["rid", "doc_id", "held_out", "words", "head_sum", "head_score", "tail"],
             )
 
     return run
@@ -209,36 +166,31 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(id_col, parts) == held).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    training = texts.where(~F.col("held_out")).withColumn("apart", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(deleted)) == 0)
+    texts = texts.withColumn("apart", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(deleted)) == 0)
+    training = texts.where(~F.col("held_out"))
     counted = training.select("t", "apart").mapInArrow(_count_words, "term binary, n long, d long")
     terms = written(counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "lm-words")
     total = terms.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("v")).first()
     end = training.agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("apart").cast("long")).alias("apart")).first()
     n, v = (total.n or 0) + end["all"], total.v + (end["all"] > 0)
-    head = to_map(head_of(terms, head_terms), "n")
-    own = {w: i + 1 for i, w in enumerate(sorted(head, key=lambda w: (-head[w], w))[:OWN])}
-
-    cells = training.where("not apart").select("t").mapInArrow(_count_classes(share(own)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2^22 rows at most
-    model = Model(own, cells.column(0).to_numpy(), cells.column(1).to_numpy().astype(np.float64))
     left = n - (total.d or 0) - (end.apart or 0)
-    two, one, unknown = learn_weights(training.where("apart"), model, terms, left, v, end["all"] - (end.apart or 0))
+    pairs = written(counted_pairs(texts, terms, end["all"], end.apart or 0), "lm-pairs")
+    two, one, unknown = learn_weights(pairs, left, v)
     if not n:
         unknown = 1.0
-    # The tables hold counts of the texts left in; scores use counts of all training texts, scaled to these.
-    model.n = model.n * (n / left if left > 0 else 1.0)
-    fixed = share((model, head, two, one, unknown, n, v, end["all"]))
-    rows = written(texts.select("doc_id", "held_out", "t").mapInArrow(_score(fixed), "rid long, doc_id long, held_out boolean, words long, head_sum double, head_score double, tail array<binary>, per array<double>, weight array<double>"), "lm-scores")
+    scored = pair_scores(pairs, two, one, unknown, n, v)
+    head = head_of(scored.where("n > 0"), head_terms).select("term", "base", "lp").toArrow()  # head_terms rows at most
+    at = {k: i for i, k in enumerate(head.column(0).to_pylist())}
+    fixed = share((at, head.column(1).to_numpy(), head.column(2).to_numpy()))
+    rows = written(texts.select("doc_id", "held_out", "t").mapInArrow(_score(fixed), "rid long, doc_id long, held_out boolean, words long, head_sum double, head_score double, tail array<binary>"), "lm-scores")
     fixed.destroy()  # reused workers would keep the head
-    pairs = rows.select("rid", F.explode(F.arrays_zip("tail", "per", "weight")).alias("x")).select("rid", F.col("x.tail").alias("term"), F.col("x.per").cast("float").alias("per"), F.col("x.weight").cast("float").alias("weight"))
-    met = pairs.join(terms.select("term", "n"), "term", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    w, c = F.col("weight").cast("double"), F.col("c")
-    p = F.when(c > 0, (1 - unknown) * (w * F.col("per") * c + (1 - w) * (one * c / float(max(n, 1)) + (1 - one) / float(max(v, 1))))).otherwise(F.lit(unknown))
-    tail = met.groupBy("rid").agg(F.sum(F.log10(c + 1)).alias("tail_sum"), F.sum(F.log10(p)).alias("tail_score"), F.sum((c == 0).cast("long")).alias("new"))
+    met = rows.select("rid", F.explode("tail").alias("term")).join(scored.drop("n"), "term", "left")  # every pair has its row
+    tail = met.groupBy("rid").agg(F.sum("base").alias("tail_sum"), F.sum("lp").alias("tail_score"), F.sum("new").alias("new"))
     tokens = F.col("words") + 1
     base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - tokens * math.log10(n + v + 1)
-    known = tokens - F.coalesce("new", F.lit(0)) - int(end["all"] == 0)
+    known = tokens - F.coalesce("new", F.lit(0))
     score = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
-    return rows.drop("tail", "per", "weight").join(tail, "rid", "left").select("doc_id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    return rows.drop("tail").join(tail, "rid", "left").select("doc_id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

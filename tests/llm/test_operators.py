@@ -178,6 +178,37 @@ def test_lm_beats_base(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_pairs_are_exact(spark):
+    """Words beyond any rank keep a context of their own, and scores take the counts of the deleted texts in."""
+    rows = [(i, f"a{i % 1500} b{i % 1500} b{(i + 7) % 1500}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    real = language_model.pair_scores
+    language_model.pair_scores = lambda pairs, *a: seen.update(pairs=pairs, a=a) or real(pairs, *a)
+    try:
+        got = {r.doc_id: r for r in language_model.lm_scores(df, head_terms=100, deleted=5).collect()}
+    finally:
+        language_model.pair_scores = real
+    pairs, before, words = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if not got[i].held_out:
+            w = ["", *t.split(), ""]
+            pairs.update(zip(w, w[1:]))
+            before.update(w[:-1])
+            words.update(w[1:])
+    two, one, unknown, n, v = seen["a"]
+    for r in seen["pairs"].sample(0.2, 3).collect():
+        a, b = r.ctx.decode(), r.term.decode()
+        assert (r.n2, r.nc, r.n1) == (pairs[a, b], before[a], words[b])
+    for i, t in rows[:200]:
+        w, want = ["", *t.split(), ""], 0.0
+        for a, b in zip(w, w[1:]):
+            x = two[before[a].bit_length()]
+            p2 = pairs[a, b] / max(before[a], 1)
+            want += math.log10((1 - unknown) * (x * p2 + (1 - x) * (one * words[b] / n + (1 - one) / v)) if words[b] else unknown)
+        assert abs(got[i].score - want) < 1e-6
+
+
 def test_lm_empty(odd):
     assert language_model.lm_scores(odd.limit(0)).count() == 0
 
