@@ -5,8 +5,8 @@
 2. Contexts.  The bytes of consecutive windows with one anchor, when that anchor occurs again, form a context.  Equal
    contexts are folded with a count before they meet; a context seen twice repeats in whole.
 3. Suffix arrays.  Contexts are packed by anchor, and each pack gets a suffix array by two-stage sorting: suffixes
-   smaller than their successor are sorted directly, 8 bytes a round; all others are induced by scanning the buckets of
-   the first byte in order.  Neighbours with a common prefix of 400 bytes are repeats.
+   smaller than their successor are sorted directly, by ranks of their own kind over depths that double; all others are
+   induced by scanning the buckets of the first byte in order.  Neighbours with a common prefix of 400 bytes are repeats.
    An anchor with very many different contexts is first divided: its windows go to blocks by their offset, keyed by the
    bytes that all windows of the block share, so no task holds an unbounded group.
 4. Repeats go back to their documents as runs of windows.  Equal texts are handled by their key: of 400 bytes or more,
@@ -28,9 +28,11 @@ from mnemo.llm.common import discard, table, written
 LENGTH, GRAM = 400, 128
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text whose anchors are found together; contexts of one pack (a suffix array) are about as many.
-RUN_BYTES, PACK_BYTES = 1 << 21, 1 << 20
+RUN_BYTES, PACK_BYTES = 1 << 21, 1 << 18
 #: Different contexts of one anchor beyond which its windows are divided into blocks of so many offsets.
-MOST_CONTEXTS, BLOCK = 1500, 32
+MOST_CONTEXTS, BLOCK = 256, 32
+#: Tasks over packs at most; a task sorts its packs one after the other.
+MOST_TASKS = 4096
 _rng = np.random.Generator(np.random.PCG64(2))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
@@ -149,27 +151,7 @@ def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     after = np.minimum.accumulate(place[::-1])[::-1]
     rising = step[after] > 0  # smaller than its successor
     rising[n - 1] = True  # the end is the least suffix
-    words = _words(symbols)
-
-    small = np.flatnonzero(rising)
-    order = np.argsort(words[small], kind="stable")
-    small = small[order]
-    key = words[small]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    offset = 8
-    while offset < depth:
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
-        if not len(tied):
-            break
-        g, at = group[tied], small[tied]
-        key = words[np.minimum(at + offset, n - 1)]
-        inner = np.lexsort((key, g))
-        small[tied] = at[inner]
-        g, key = g[inner], key[inner]
-        new[tied] = np.concatenate([[True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])])
-        offset += 8
+    small = _sorted_small(symbols, rising, depth)
 
     head = symbols[small]
     borders = np.searchsorted(head, np.arange(257))
@@ -197,26 +179,68 @@ def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _sorted_small(symbols: np.ndarray, rising: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes that are smaller than their successors, sorted directly.
+
+    The first round compares 8 symbols.  In later rounds a group of ties with `known` equal symbols is compared by the
+    ranks of suffixes of the same kind that start inside those symbols, so that depths about double: the last such start
+    before the run of symbols that the known ones end in, since its kind hangs on known symbols alone and it lies at
+    the same distance in the whole group.  A group without one compares the next 8 symbols.
+    """
+    n, index = len(symbols), np.arange(len(symbols))
+    words = _words(symbols)
+    run_start = np.maximum.accumulate(np.where(np.concatenate([[True], symbols[1:] != symbols[:-1]]), index, 0))
+    last_small = np.maximum.accumulate(np.where(rising, index, -1))
+    small = np.flatnonzero(rising)
+    small = small[np.argsort(words[small])]
+    key = words[small]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.zeros(n, dtype=np.int64)  # of a small suffix: the first place of its group
+    rank[small] = np.maximum.accumulate(np.where(new, np.arange(len(small)), 0))
+    known = np.full(n, 8, dtype=np.int64)  # symbols that the suffixes of its group share
+    open_places = np.arange(len(small))
+    while True:
+        alone = new[open_places] & np.append(new, True)[open_places + 1]
+        open_places = open_places[~alone & (known[small[open_places]] < depth)]
+        if not len(open_places):
+            return small
+        at = small[open_places]
+        group = rank[at]
+        end = np.minimum(at + known[at], n) - 1
+        jump = last_small[np.maximum(run_start[end] - 1, 0)]
+        far = np.minimum(at + known[at], n - 1)
+        key, reach = rank[jump], jump - at + known[jump]
+        if (near := jump <= at).any():
+            key[near] = np.unique(words[far[near]], return_inverse=True)[1]
+            reach[near] = known[at[near]] + 8
+        inner = np.argsort(group * (n + 1) + key)
+        at, group, key, reach = at[inner], group[inner], key[inner], reach[inner]
+        small[open_places] = at
+        first = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
+        new[open_places] = first
+        rank[at] = np.maximum.accumulate(np.where(first, open_places, 0))
+        known[at] = reach
+
+
 def _words(symbols: np.ndarray) -> np.ndarray:
     """The eight symbols from each position on as one number that orders like them."""
     padded = np.concatenate([symbols, np.zeros(8, dtype=np.uint8)])
-    out = np.zeros(len(symbols), dtype=np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | padded[i : i + len(symbols)]
-    return out
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(symbols)].copy().view(">u8")[:, 0].astype(np.uint64)
 
 
 def common_prefixes(symbols: np.ndarray, array: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """For neighbours in the array, whether they share `depth` symbols; depth is a multiple of 8."""
-    words, n = _words(symbols), len(symbols)
+    """For neighbours in the array, whether they share `depth` symbols."""
     a, b = array[:-1], array[1:]
-    alive = np.flatnonzero((a + depth <= n) & (b + depth <= n))
-    for offset in range(0, depth, 8):
-        alive = alive[words[a[alive] + offset] == words[b[alive] + offset]]
-        if not len(alive):
-            break
     same = np.zeros(len(a), dtype=bool)
-    same[alive] = True
+    if len(symbols) < depth:
+        return same
+    alive = np.flatnonzero((a + depth <= len(symbols)) & (b + depth <= len(symbols)))
+    for at in (0, depth - 1, depth // 2):  # most neighbours differ in one of these
+        alive = alive[symbols[a[alive] + at] == symbols[b[alive] + at]]
+    rows = np.lib.stride_tricks.sliding_window_view(symbols, depth)
+    for i in range(0, len(alive), 2048):
+        some = alive[i : i + 2048]
+        same[some] = (rows[a[some]] == rows[b[some]]).all(axis=1)
     return same
 
 
@@ -315,14 +339,14 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = folded.join(sizes, F.col("anchor") == F.col("of"))
     sort_schema = "anchor long, digest binary, runs array<int>"
     few = sized.where(F.col("different") <= most_contexts).select("anchor", "digest", "context", "times", F.pmod("anchor", F.lit(packs)).alias("pack"))
-    parts = [few.groupBy("pack").applyInArrow(_sort_packs, sort_schema)]
+    parts = [few.repartition(min(packs, MOST_TASKS), "pack").groupBy("pack").applyInArrow(_sort_packs, sort_schema)]
     if sizes.where(F.col("different") > most_contexts).take(1):
         many = sized.where(F.col("different") > most_contexts).select("anchor", "digest", "lead", "context", "times")
         divided = written(many.mapInArrow(_divide, "anchor long, digest binary, base int, core long, block int, context binary, times long"), "suffix-divided")
         block = divided.groupBy("anchor", "block", "core", "context").agg(F.sum("times").alias("times"))
         block = block.withColumn("sub", F.unhex(F.sha2("context", 256))).withColumn("pack", F.pmod(F.xxhash64("anchor", "block", "core"), F.lit(4 * packs)))
         keyed = block.select(F.xxhash64("anchor", "block", "core").alias("anchor"), F.col("sub").alias("digest"), "context", "times", "pack")
-        solved = keyed.groupBy("pack").applyInArrow(_sort_packs, sort_schema).select(F.col("anchor").alias("ka"), F.col("digest").alias("kd"), "runs")
+        solved = keyed.repartition(min(4 * packs, MOST_TASKS), "pack").groupBy("pack").applyInArrow(_sort_packs, sort_schema).select(F.col("anchor").alias("ka"), F.col("digest").alias("kd"), "runs")
         back = divided.withColumn("sub", F.unhex(F.sha2("context", 256))).withColumn("ka", F.xxhash64("anchor", "block", "core"))
         back = back.join(solved, (back["ka"] == solved["ka"]) & (back["sub"] == solved["kd"])).where(F.size("runs") > 0)
         parts.append(back.groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.expr("transform(runs, x -> x + base)"))).alias("runs")))
