@@ -32,7 +32,9 @@ RUN_BYTES, PACK_BYTES = 1 << 21, 1 << 18
 #: Different contexts of one anchor beyond which its windows are divided into blocks of so many offsets.
 MOST_CONTEXTS, BLOCK = 256, 32
 #: Tasks over packs at most; a task sorts its packs one after the other.
-MOST_TASKS = 4096
+MOST_TASKS = 1024
+#: Pieces that an anchor with very many contexts is dealt to while it is set apart.
+SALTS = 32
 _rng = np.random.Generator(np.random.PCG64(2))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
@@ -308,6 +310,11 @@ def _keep(batches):
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _packs(contexts: DataFrame) -> int:
+    """How many packs hold a table of contexts."""
+    return max(1, int((contexts.agg(F.sum(F.octet_length("context")).alias("b")).first().b or 0) // PACK_BYTES))
+
+
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -335,18 +342,21 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folded = cut.groupBy("anchor", "lead", "context").agg(F.sum(F.size("starts").cast("long")).alias("times"), F.count(F.lit(1)).alias("c"))
     folded = written(folded.select("anchor", F.unhex(F.sha2("context", 256)).alias("digest"), "lead", "context", "times"), "suffix-folded")
     sizes = folded.groupBy(F.col("anchor").alias("of")).agg(F.count(F.lit(1)).alias("different"))
-    packs = max(1, int((folded.agg(F.sum(F.octet_length("context")).alias("b")).first().b or 0) // PACK_BYTES))
-    sized = folded.join(sizes, F.col("anchor") == F.col("of"))
+    large = sizes.where(F.col("different") > most_contexts).select("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
+    salted = folded.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    of_large = (F.col("anchor") == F.col("of")) & (F.col("salt") == F.col("of_salt"))
+    packs = _packs(folded)
     sort_schema = "anchor long, digest binary, runs array<int>"
-    few = sized.where(F.col("different") <= most_contexts).select("anchor", "digest", "context", "times", F.pmod("anchor", F.lit(packs)).alias("pack"))
+    few = salted.join(large, of_large, "left_anti").select("anchor", "digest", "context", "times", F.pmod("anchor", F.lit(packs)).alias("pack"))
     parts = [few.repartition(min(packs, MOST_TASKS), "pack").groupBy("pack").applyInArrow(_sort_packs, sort_schema)]
-    if sizes.where(F.col("different") > most_contexts).take(1):
-        many = sized.where(F.col("different") > most_contexts).select("anchor", "digest", "lead", "context", "times")
+    if large.take(1):
+        many = salted.join(large, of_large, "left_semi").select("anchor", "digest", "lead", "context", "times")
         divided = written(many.mapInArrow(_divide, "anchor long, digest binary, base int, core long, block int, context binary, times long"), "suffix-divided")
+        blocks = _packs(divided)
         block = divided.groupBy("anchor", "block", "core", "context").agg(F.sum("times").alias("times"))
-        block = block.withColumn("sub", F.unhex(F.sha2("context", 256))).withColumn("pack", F.pmod(F.xxhash64("anchor", "block", "core"), F.lit(4 * packs)))
+        block = block.withColumn("sub", F.unhex(F.sha2("context", 256))).withColumn("pack", F.pmod(F.xxhash64("anchor", "block", "core"), F.lit(blocks)))
         keyed = block.select(F.xxhash64("anchor", "block", "core").alias("anchor"), F.col("sub").alias("digest"), "context", "times", "pack")
-        solved = keyed.repartition(min(4 * packs, MOST_TASKS), "pack").groupBy("pack").applyInArrow(_sort_packs, sort_schema).select(F.col("anchor").alias("ka"), F.col("digest").alias("kd"), "runs")
+        solved = keyed.repartition(min(blocks, MOST_TASKS), "pack").groupBy("pack").applyInArrow(_sort_packs, sort_schema).select(F.col("anchor").alias("ka"), F.col("digest").alias("kd"), "runs")
         back = divided.withColumn("sub", F.unhex(F.sha2("context", 256))).withColumn("ka", F.xxhash64("anchor", "block", "core"))
         back = back.join(solved, (back["ka"] == solved["ka"]) & (back["sub"] == solved["kd"])).where(F.size("runs") > 0)
         parts.append(back.groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.expr("transform(runs, x -> x + base)"))).alias("runs")))
