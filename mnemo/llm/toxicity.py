@@ -106,15 +106,11 @@ def phrases(folded: str, at: int) -> tuple[str, str]:
 
 
 def _beginnings(batches):
-    """Document frequencies of word beginnings, by label; equal folded texts in one batch stream count once."""
-    toxic, clean, seen = Counter(), Counter(), set()
+    """Document frequencies of word beginnings, by label."""
+    toxic, clean = Counter(), Counter()
     for b in batches:
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            f = fold(t)
-            if (h := hash(f)) in seen:
-                continue
-            seen.add(h)
-            heads = {w[:k] for w in set(f.split()) for k in range(min(SHORTEST, len(w)), min(LONGEST, len(w)) + 1)}
+            heads = {w[:k] for w in set(fold(t).split()) for k in range(min(SHORTEST, len(w)), min(LONGEST, len(w)) + 1)}
             (toxic if y else clean).update(heads)
     keys = list(toxic | clean)
     for i in range(0, len(keys), 50_000):
@@ -171,7 +167,8 @@ def _probe(shared):
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Lexicon:
     """A lexicon from labelled rows whose crc32(id) mod 5 is not 0: folds 1 to 3 give entries, fold 4 exceptions and curve.
 
-    Rows without a label, a text or an id teach nothing; of an id labelled twice the larger label holds.  Without toxic
+    Rows without a label, a text or an id teach nothing; of an id labelled twice the larger label holds.  Equal texts
+    teach once, under the larger label and in the fold of their least id, however rows are partitioned.  Without toxic
     or clean rows the lexicon is empty and every score is the base rate.
     """
     spark = docs.sparkSession
@@ -180,7 +177,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64(F.lit(3), "lid"), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
     # about max_labelled rows of 12 bytes: a size that the parameter bounds
-    rows = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(known), F.col("did") == F.col("lid")).select("t", "y", fold_of("lid", 5).alias("part"))
+    rows = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(known), F.col("did") == F.col("lid"))
+    rows = rows.groupBy("t").agg(F.max("y").alias("y"), F.min("lid").alias("least")).select("t", "y", fold_of("least", 5).alias("part"))
     first = rows.where("part != 4").select("t", "y")
     sums = {r.y: r.n for r in first.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     heads = first.mapInArrow(_beginnings, "head string, toxic long, clean long").groupBy("head").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") >= LEAST_TOXIC)
