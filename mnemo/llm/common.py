@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters that separate words everywhere in this subpackage: space, \t \n \v \f \r.
@@ -59,3 +59,13 @@ def text_of(col: str = "text"):
 def fold_of(id_col: str, parts: int):
     """crc32 of the id as text, modulo parts; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts
+
+
+def first_of_repeats(rows: DataFrame, again: DataFrame, same) -> DataFrame:
+    """rows, but of those that meet one row of `again` only the one with the least hash of all columns."""
+    names = [f"`{c}`" for c in rows.columns]
+    if not again.take(1):
+        return rows
+    once = Window.partitionBy(*again.columns).orderBy(F.xxhash64(*[F.col(c) for c in names]))
+    repeated = rows.join(again, same).withColumn("__at", F.row_number().over(once)).where("__at = 1").select(*names)
+    return rows.join(again, same, "left_anti").unionByName(repeated)

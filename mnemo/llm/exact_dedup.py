@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import discard, table, written
+from mnemo.llm.common import discard, first_of_repeats, table, written
 
 #: Index entries that a bucket may hold before it splits.
 CAPACITY = 1 << 16
@@ -84,11 +84,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of docs whose text has no equal with a larger id; all columns stay, whatever their names."""
-    groups = exact_groups(docs, id_col, text_col, capacity)
-    lost = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__lost_id"), F.col("text_sha256").alias("__lost_sha")).distinct()
+    """One row of docs for each different text, a row with its largest id; all columns stay, whatever their names.
+
+    Of rows that repeat the staying id with the same text, the one with the least hash of all columns stays.
+    """
+    groups = written(exact_groups(docs, id_col, text_col, capacity).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "dedup-groups")
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost_id"]) & (sha == lost["__lost_sha"]), "left_anti")
+    mine = docs[id_col].eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    kept = docs.join(groups.where("not kept").select("__id", "__sha").distinct(), mine, "left_anti")
+    again = groups.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha")
+    return first_of_repeats(kept, again, mine)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
