@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemo.llm.common import discard, table, written
+from mnemo.llm.common import discard, first_of_repeats, table, written
 
 N_GRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.99999, 160
 #: Members of a component that one block holds; a task holds two blocks.
@@ -95,7 +95,7 @@ def _sign(n: int, bands: int, rows: int):
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()))
                 sizes.append(len(g))
                 hashes.append(band_hashes(g, bands, rows) if len(g) else np.zeros(0, dtype=np.int64))
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_grams", "bands"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "text_key", "set_key", "n_grams", "bands"])
 
     return run
 
@@ -109,13 +109,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written, so that a hub's neighbours can be split among tasks in the join
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         new = written(small, name)
         now = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         discard(stars)
+        discard(least)
         stars = new
         if now == before:
             break
@@ -154,98 +156,122 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int)
     return inter * den >= num * union
 
 
-def _roots(pairs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Least id of each member's component under the links (boolean square matrix over ids)."""
-    root = ids.copy()
+def _roots(pairs: np.ndarray) -> np.ndarray:
+    """First member of each member's component under the links (boolean square matrix)."""
+    root = np.arange(len(pairs))
     while True:
-        new = np.array([min(root[i], root[row].min()) if row.any() else root[i] for i, row in enumerate(pairs)])
+        new = np.array([min(root[i], root[row].min()) if row.any() else root[i] for i, row in enumerate(pairs)], dtype=np.int64)
         if (new == root).all():
             return root
         root = new
 
 
 def _verify(n: int, num: int, den: int):
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def run(group: pa.Table) -> pa.Table:
         d = group.to_pydict()
         grams_of, tiles = Shingles(n), {}
         for k, key in enumerate(zip(d["comp"], d["i"], d["j"], strict=True)):
             tiles.setdefault(key, []).append(k)
-        reps, links, roots = [], [], []
+        nodes, links, roots = [], [], []
         for (_, i, j), rows in tiles.items():
             parts = [[k for k in rows if d["block"][k] == b] for b in ([i] if i == j else [i, j])]
             if not all(parts):
                 continue
             grams = [[grams_of(d["t"][k]) for k in p] for p in parts]
-            ids = [np.array([d["rep"][k] for k in p], dtype=np.int64) for p in parts]
             many = [np.array([d["copies"][k] for k in p], dtype=np.int64) for p in parts]
             if i == j:
-                yes = linked(grams[0], grams[0], num, den)
-                np.fill_diagonal(yes, False)
-                ids_all, square, count = ids[0], yes, yes @ many[0]
+                square = linked(grams[0], grams[0], num, den)
+                np.fill_diagonal(square, False)
+                count = square @ many[0]
             else:
                 yes = linked(grams[0], grams[1], num, den)
                 a = len(parts[0])
                 square = np.zeros((a + len(parts[1]),) * 2, dtype=bool)
                 square[:a, a:], square[a:, :a] = yes, yes.T
-                ids_all, count = np.concatenate(ids), np.concatenate([yes @ many[1], yes.T @ many[0]])
-            root = _roots(square, ids_all)
-            reps.extend(ids_all.tolist())
+                count = np.concatenate([yes @ many[1], yes.T @ many[0]])
+            own = [d["node"][k] for p in parts for k in p]
+            nodes.extend(own)
             links.extend(count.tolist())
-            roots.extend(root.tolist())
-        return pa.table([pa.array(reps, pa.int64()), pa.array(links, pa.int64()), pa.array(roots, pa.int64())], schema=schema)
+            roots.extend(own[r] for r in _roots(square).tolist())
+        return pa.table([pa.array(nodes, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], schema=schema)
 
     return run
 
 
-def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, rep_id, copies, n_grams.
+def _place():
+    """Orders rows by id, NULL last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
 
-    Two documents are linked when their sets of word n-grams have a Jaccard similarity of the threshold or more; class_id
-    is the least doc_id that links lead to, n_links the number of other documents linked to the document itself, rep_id
-    the least doc_id with the same n-gram set and copies the number of documents with it.  A text of fewer than n words
-    is one n-gram; null and empty texts have none and are linked to nothing.  Rows that repeat an id with the same text
-    are copies of each other.  Other columns of docs are not read.  An empty table gives an empty result.
-    """
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> DataFrame:
+    """near_links with text_key, a hash of the text, and class_key, the class's own name (NULL without n-grams)."""
     bands, rows = choose_bands(threshold, recall)
     num, den = round(threshold * 1000), 1000
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    signed = written(texts.mapInArrow(_sign(n, bands, rows), "doc_id long, set_key binary, n_grams long, bands array<long>"), "near-signed")
+    texts = texts.withColumn("text_key", F.xxhash64("t"))
+    signed = written(texts.mapInArrow(_sign(n, bands, rows), "doc_id long, text_key long, set_key binary, n_grams long, bands array<long>"), "near-signed")
     full = signed.where("n_grams > 0")
-    sets = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-sets")
-    reps = full.select("set_key", F.col("doc_id").alias("rep"), "bands").join(sets, ["set_key", "rep"]).dropDuplicates(["rep", "set_key"])
-    met = written(reps.select("rep", F.posexplode("bands").alias("band", "hash")), "near-bands")
-    buckets = met.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hash", "least")
-    stars = met.join(buckets, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
+    # A class of equal sets is named by its set's key; ids stand for nothing here, since texts may share one.
+    sets = full.groupBy("set_key").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    sets = written(sets.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "copies", "bands"), "near-sets")
+    met = written(sets.select(F.col("set_key").alias("node"), F.posexplode("bands").alias("band", "hash")), "near-bands")
+    buckets = met.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hash", "least")
+    stars = met.join(buckets, ["band", "hash"]).select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
     comps = written(components(stars, "near-candidates"), "near-components")
     discard(met)
 
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     total = comps.count()
     packs = max(1, total // TILE)
-    member = comps.withColumnRenamed("node", "rep").join(sizes, "comp").join(sets.select("rep", "copies"), "rep")
-    member = member.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    held = texts.join(member, texts["doc_id"] == member["rep"]).dropDuplicates(["rep"])
+    member = comps.join(sizes, "comp").join(sets.select(F.col("set_key").alias("node"), "copies", "rep", F.col("text_key").alias("rep_text")), "node")
+    member = member.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = texts.join(member, (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiled = held.select("rep", "copies", "comp", "block", "blocks", "t", other).select("rep", "copies", "comp", "block", "t", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tiled = held.select("node", "copies", "comp", "block", "blocks", "t", other).select("node", "copies", "comp", "block", "t", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp", "i", "j"))
-    found = written(tiled.withColumn("pack", pack).drop("blocks").groupBy("pack").applyInArrow(_verify(n, num, den), "rep long, links long, root long"), "near-links")
-    per_rep = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "near-classes").withColumnRenamed("node", "crep")
-    known = sets.join(per_rep, "rep", "left").join(classes, F.col("rep") == F.col("crep"), "left")
-    known = known.select("set_key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "rep").alias("class_id"))
-    out = signed.select("doc_id", F.when(F.col("n_grams") > 0, F.col("set_key")).alias("set_key"), "n_grams").join(known, "set_key", "left")
+    found = written(tiled.withColumn("pack", pack).drop("blocks").groupBy("pack").applyInArrow(_verify(n, num, den), "node binary, links long, root binary"), "near-links")
+    per_node = found.groupBy("node").agg(F.sum("links").alias("links"))
+    grown = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "near-classes")
+    named = grown.join(sets.select(F.col("set_key").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("class_id"))
+    classes = grown.join(named, "comp").select(F.col("node").alias("of_class"), "class_id", F.col("comp").alias("class_key"))
+    known = sets.join(per_node, F.col("set_key") == F.col("node"), "left").join(classes, F.col("set_key") == F.col("of_class"), "left")
+    known = known.select(F.col("set_key").alias("key"), "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_key", "set_key").alias("class_key"))
+    out = signed.join(known, F.when(F.col("n_grams") > 0, F.col("set_key")) == F.col("key"), "left")
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-        F.coalesce("rep", "doc_id").alias("rep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_grams",
+        F.coalesce("rep", "doc_id").alias("rep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_grams", "text_key", "class_key",
     )
 
 
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, rep_id, copies, n_grams.
+
+    Two documents are linked when their sets of word n-grams have a Jaccard similarity of the threshold or more; class_id
+    is the least doc_id that links lead to, n_links the number of other documents linked to the document itself, rep_id
+    the least doc_id with the same n-gram set and copies the number of documents with it.  A text of fewer than n words
+    is one n-gram; null and empty texts have none and are linked to nothing.  Every row is a document of its own, whether
+    its id is null, repeated with the same text or repeated with another; null ids name a class only where it has no
+    other.  Other columns of docs are not read.  An empty table gives an empty result.
+    """
+    return _linked(docs, id_col, text_col, n, threshold, recall).drop("text_key", "class_key")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that bear their class's least id; all columns stay, whatever their names."""
-    lost = near_links(docs, id_col, text_col).where("class_id != doc_id").select(F.col("doc_id").alias("__lost_id")).distinct()
-    return docs.join(lost, docs[id_col] == lost["__lost_id"], "left_anti")
+    """One row of each class of docs, a row with its least id; all columns stay, whatever their names.
+
+    Of several texts under that id the one with the least hash stays, and of rows that repeat it the one with the least
+    hash of all columns.  Rows without n-grams are in no class and all stay.
+    """
+    links = written(_linked(docs, id_col, text_col, N_GRAM, THRESHOLD, RECALL).where("n_grams > 0").select("class_key", "doc_id", "text_key"), "near-classes")
+    first = written(links.groupBy("class_key").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class_key", "first"), "near-firsts")
+    marked = links.join(first, "class_key").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("first") == _place()).alias("stays"))
+    marked = written(marked, "near-marked")
+    mine = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__key"))
+    kept = docs.join(marked.where("not stays").select("__id", "__key").distinct(), mine, "left_anti")
+    again = marked.where("stays").groupBy("__id", "__key").count().where("count > 1").select("__id", "__key")
+    return first_of_repeats(kept, again, mine)
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
