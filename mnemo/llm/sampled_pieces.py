@@ -16,10 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from array import array
+from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +31,19 @@ from mnemo.llm.common import table
 MODEL = "piece_bpe_32k.model"
 #: Larger values keep closer to the few frequent long pieces, 0 draws pieces evenly.
 SHARPNESS = 1.0
-#: Edges that a worker remembers (20 bytes each), and bytes of text that it draws at a time.
-MOST_EDGES, RUN_BYTES = 6_000_000, 1 << 20
+#: Edges that a worker remembers (20 bytes each), characters of chunks that it draws together and that it filters together.
+MOST_EDGES, DRAW_CHARS, FILTER_CHARS = 3_000_000, 1 << 19, 1 << 16
+#: Bytes of whole texts that make one batch of results, where no single text is larger.
+RUN_BYTES = 1 << 20
 _CHUNK = re.compile(r" *[^ ]+| +")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _ALL = 0xD1342543DE82EF95, (1 << 64) - 1
 #: Chunks up to this length are filtered together; no product of so many weights underflows.
 _SHORT = 32
+#: Chunks beyond this length leave no edges: they are filtered and drawn one by one, at 12 bytes a character.
+_LONG = 4096
+#: Pieces that are decoded together.
+_DECODED = 1 << 16
 #: Weight of a character that has no piece.
 _FALLBACK = 1e-6
 
@@ -81,11 +90,23 @@ class Vocabulary:
         self.length = np.array([len(s) for s in surface], dtype=np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
 
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of a text with its added space; the empty text has none."""
+    def chunks(self, text: str, most: int):
+        """Lists of the chunks of a text with its added space, of about `most` characters each; the empty text has none."""
         if not text:
-            return []
-        return _CHUNK.findall(" " + text) if self.splits else [" " + text]
+            return
+        if not self.splits:
+            yield [" " + text]
+        elif len(text) < most:
+            yield _CHUNK.findall(" " + text)
+        else:
+            some, size = [], 0
+            for m in _CHUNK.finditer(" " + text):
+                some.append(m.group())
+                size += len(some[-1])
+                if size >= most:
+                    yield some
+                    some, size = [], 0
+            yield some
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the pieces, the added spaces included."""
@@ -94,6 +115,12 @@ class Vocabulary:
         return self.surface[at]
 
 
+@lru_cache(maxsize=2)
+def vocabulary(name: str, sharpness: float) -> Vocabulary:
+    """The vocabulary of a worker, which all its tasks share."""
+    return Vocabulary(name, sharpness)
+
+
 class Lattice:
     """Filtered chunks as one table of edges.
 
@@ -121,10 +148,17 @@ class Lattice:
         return self.odd[char]
 
     def filter(self, chunks: list[str]) -> None:
-        """Forward filtering of new chunks, the short ones all at once."""
+        """Forward filtering of new chunks, the short ones in slices of FILTER_CHARS characters."""
         short = sorted((c for c in chunks if len(c) <= _SHORT), key=len, reverse=True)
-        if short:
-            self._filter_short(short)
+        some, size = [], 0
+        for c in short:
+            some.append(c)
+            size += len(c)
+            if size >= FILTER_CHARS:
+                self._filter_short(some)
+                some, size = [], 0
+        if some:
+            self._filter_short(some)
         for c in chunks:
             if len(c) > _SHORT:
                 self._filter_long(c)
@@ -206,11 +240,41 @@ class Lattice:
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts in a row, and the number of pieces of each."""
+        per, got, waiting, size = np.zeros(len(texts), dtype=np.int64), [], [], 0
+
+        def draw() -> None:
+            nonlocal waiting, size
+            if waiting:
+                counts = np.array([len(c) for c, *_ in waiting], dtype=np.int64)
+                order = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - [done for *_, done in waiting], counts)
+                seed = np.repeat(np.array([seeds[i] for _, i, _ in waiting], dtype=np.uint64), counts)
+                ids, n = self._draw(list(chain.from_iterable(c for c, *_ in waiting)), seed + (order.astype(np.uint64) + np.uint64(1)) * _GOLD)
+                np.add.at(per, [i for _, i, _ in waiting], np.add.reduceat(n, np.cumsum(counts) - counts))
+                got.append(ids)
+            waiting, size = [], 0
+
+        for i, text in enumerate(texts):
+            done = 0  # chunks of the text so far
+            for chunks in self.v.chunks(text, DRAW_CHARS):
+                for alone, some in _set_apart(chunks) if len(text) > _LONG else [(False, chunks)]:
+                    if alone:
+                        draw()
+                        ids = self._draw_long(some[0], int(seeds[i]) + (done + 1) * int(_GOLD) & _ALL)
+                        per[i] += len(ids)
+                        got.append(ids)
+                    else:
+                        waiting.append((some, i, done))
+                        size += sum(map(len, some))
+                        if size >= DRAW_CHARS:
+                            draw()
+                    done += len(some)
+        draw()
+        return np.concatenate([np.zeros(0, dtype=np.int32), *got]), per
+
+    def _draw(self, keys: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of chunks in a row, and the number of pieces of each; all draws run together."""
         if self.upto.n > MOST_EDGES:
             self.clear()
-        chunked = [self.v.chunks(t) for t in texts]
-        counts = np.array([len(c) for c in chunked], dtype=np.int64)
-        keys = list(chain.from_iterable(chunked))
         number = list(map(self.known.get, keys))
         if None in number:
             self.filter(list(dict.fromkeys(k for k, i in zip(keys, number, strict=True) if i is None)))
@@ -219,11 +283,10 @@ class Lattice:
         now = self.ends.all()[number]
         stop = now - self.sizes.all()[number]
         first, upto, back, piece = self.first.all(), self.upto.all(), self.back.all(), self.piece.all()
-        order = np.arange(len(now), dtype=np.uint64) - np.repeat((np.cumsum(counts) - counts).astype(np.uint64), counts)
-        seed = _mix(np.repeat(seeds.astype(np.uint64), counts) + (order + np.uint64(1)) * _GOLD)
+        seed = _mix(seeds)
         steps, active, length, steps_done = [], np.arange(len(now)), np.zeros(len(now), dtype=np.int64), 0
         while len(active):
-            u = (_mix(seed + np.uint64(steps_done * int(_GOLD) & _ALL)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = _unit(seed, steps_done)
             edge = first[now]
             more = np.flatnonzero(upto[edge] <= u)
             while len(more):
@@ -235,35 +298,72 @@ class Lattice:
             length[active] = steps_done + 1
             active, now, stop, seed = active[on], now[on], stop[on], seed[on]
             steps_done += 1
-        begin = np.cumsum(length) - length
-        ids = np.empty(int(length.sum()), dtype=np.int64)
-        last = begin + length - 1
+        last = np.cumsum(length) - 1
+        ids = np.empty(int(length.sum()), dtype=np.int32)
         for t, (who, got) in enumerate(steps):  # drawn from the end
             ids[last[who] - t] = got
-        sums = np.concatenate([[0], np.cumsum(length)])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        per = np.diff(sums[edges])
-        if (odd := ids >= self.v.size).any():
-            wide = np.ones(len(ids), dtype=np.int64)
-            runs = [self.bytes_of[i - self.v.size] for i in ids[odd].tolist()]
-            wide[odd] = [len(r) for r in runs]
-            ends = np.concatenate([[0], np.cumsum(wide)])
-            border = np.concatenate([[0], np.cumsum(per)])
-            ids = np.repeat(ids, wide)
-            ids[np.repeat(odd, wide)] = [b for r in runs for b in r]
-            per = np.diff(ends[border])
-        return ids.astype(np.int32), per
+        return self._spelled(ids, length)
+
+    def _spelled(self, ids: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pseudo ids replaced by byte pieces."""
+        odd = ids >= self.v.size
+        if not odd.any():
+            return ids, per
+        wide = np.ones(len(ids), dtype=np.int64)
+        runs = [self.bytes_of[i - self.v.size] for i in ids[odd].tolist()]
+        wide[odd] = [len(r) for r in runs]
+        ends = np.concatenate([[0], np.cumsum(wide)])
+        border = np.concatenate([[0], np.cumsum(per)])
+        ids = np.repeat(ids, wide)
+        ids[np.repeat(odd, wide)] = [b for r in runs for b in r]
+        return ids, np.diff(ends[border])
+
+    def _draw_long(self, chunk: str, seed: int) -> np.ndarray:
+        """Piece ids of one chunk of any length: only the forward weights are kept, edges are found again where the path goes.
+
+        The weight of position e is alpha[e] / 1e100 ** scale[e].
+        """
+        weight, longest, n = self.v.weight, self.v.longest, len(chunk)
+        alpha, scale, recent, now = array("d", [1.0]), array("i", [0]), [1.0], 0
+        for e in range(1, n + 1):
+            total = 0.0 if chunk[e - 1] in weight else recent[-1] * _FALLBACK
+            for k in range(1, min(e, longest) + 1):
+                if (got := weight.get(chunk[e - k : e])) is not None:
+                    total += recent[-k] * got[1]
+            if total < 1e-100:
+                recent, now, total = [x * 1e100 for x in recent[-longest:]], now + 1, total * 1e100
+            recent.append(total)
+            if len(recent) > 1024:
+                del recent[:-longest]
+            alpha.append(total)
+            scale.append(now)
+        out, e, done = array("i"), n, 0
+        seeds = _mix(np.array([seed], dtype=np.uint64))
+        while e:
+            if done % 4096 == 0:
+                draws = _unit(seeds, np.arange(done, done + 4096, dtype=np.uint64)).tolist()
+            own = [(alpha[s] * 1e100 ** (scale[e] - scale[s]) * got[1], s, got[0]) for s in range(max(0, e - longest), e) if (got := weight.get(chunk[s:e])) is not None]
+            if chunk[e - 1] not in weight:
+                own.append((alpha[e - 1] * 1e100 ** (scale[e] - scale[e - 1]) * _FALLBACK, e - 1, self._pseudo(chunk[e - 1])))
+            left = draws[done % 4096] * sum(w for w, _, _ in own)
+            for w, s, i in own:
+                left -= w
+                if left < 0:
+                    break
+            out.append(i)
+            e, done = s, done + 1
+        return self._spelled(np.frombuffer(out, dtype=np.int32)[::-1].copy(), np.array([len(out)]))[0]
 
 
 class _Grown:
-    """An array that grows by doubling."""
+    """An array that grows by a quarter at a time."""
 
     def __init__(self, kind):
         self.a, self.n = np.empty(1 << 12, dtype=kind), 0
 
     def add(self, x: np.ndarray) -> None:
         if (m := self.n + len(x)) > len(self.a):
-            bigger = np.empty(max(m, 2 * len(self.a)), dtype=self.a.dtype)
+            bigger = np.empty(m + m // 4, dtype=self.a.dtype)
             bigger[: self.n] = self.a[: self.n]
             self.a = bigger
         self.a[self.n : m] = x
@@ -290,34 +390,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _runs(texts: list[str]):
-    """Slices of texts of about RUN_BYTES characters."""
+def _unit(seed: np.ndarray, step) -> np.ndarray:
+    """Draws in 0..1 for a step of each seed."""
+    at = np.asarray(step, dtype=np.uint64) * _GOLD if np.ndim(step) else np.uint64(int(step) * int(_GOLD) & _ALL)
+    return (_mix(seed + at) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _set_apart(chunks: list[str]):
+    """(alone, chunks): the chunks in order, each one beyond _LONG by itself."""
+    if max(map(len, chunks), default=0) <= _LONG:
+        return [(False, chunks)] if chunks else []
+    return [(alone, [c]) if alone else (False, list(some)) for alone, some in groupby(chunks, lambda c: len(c) > _LONG) for c in (some if alone else [None])]
+
+
+def _runs(sizes: list[int]):
+    """Slices of rows of about RUN_BYTES bytes."""
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= RUN_BYTES:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+    for i, n in enumerate(sizes):
+        if size and size + n > RUN_BYTES:
+            yield slice(at, i)
+            at, size = i, 0
+        size += n
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
+
+def _checked(v: Vocabulary, ids: np.ndarray, text: str) -> tuple[bool, str]:
+    """Whether pieces decode to the text, and the digest of what they decode to."""
+    raw, digest, same, at = memoryview(text.encode("utf-8", "surrogatepass")), hashlib.sha256(), True, 0
+    for i in range(0, len(ids), _DECODED):
+        back = v.decode(ids[i : i + _DECODED])[0 if i else 1 :].tobytes()
+        same = same and back == raw[at : at + len(back)]
+        at += len(back)
+        digest.update(back)
+    return same and at == len(raw), digest.hexdigest()
 
 
 def _encode(name: str, sharpness: float):
     def run(batches):
-        lattice = Lattice(Vocabulary(name, sharpness))
+        lattice = Lattice(vocabulary(name, sharpness))
         for b in batches:
-            texts, seeds = b.column(1).to_pylist(), b.column(2).to_numpy()
-            for part in _runs(texts):
-                own = texts[part]
-                ids, per = lattice.sample(own, seeds[part].view(np.uint64))
-                back = lattice.v.decode(ids)
+            for part in _runs(pc.binary_length(b.column(1)).to_pylist()):
+                rows = b.slice(part.start, part.stop - part.start)
+                own = rows.column(1).to_pylist()
+                ids, per = lattice.sample(own, rows.column(2).to_numpy().view(np.uint64))
                 ends = np.concatenate([[0], np.cumsum(per)])
-                edge = np.concatenate([[0], np.cumsum(lattice.v.length[ids])])[ends]
-                decoded = [back[edge[i] + 1 : edge[i + 1]].tobytes() for i in range(len(own))]
-                same = [x == t.encode("utf-8", "surrogatepass") for x, t in zip(decoded, own, strict=True)]
-                digest = [hashlib.sha256(x).hexdigest() for x in decoded]
+                checked = [_checked(lattice.v, ids[ends[i] : ends[i + 1]], t) for i, t in enumerate(own)]
                 yield pa.record_batch(
-                    [b.column(0)[part.start : part.stop], pa.array(per, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(same), pa.array(digest)],
+                    [rows.column(0), pa.array(per, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array([x for x, _ in checked]), pa.array([x for _, x in checked])],
                     names=["doc_id", "n_pieces", "ids", "lossless", "decoded_sha256"],
                 )
 
@@ -329,7 +449,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nam
 
     Draws are seeded by the id, so rows that repeat an id and text get the same pieces; a null id is an id of its own.
     Null counts as the empty text, which has no pieces.  Other columns of docs are not read.  An empty table gives an
-    empty result.  A worker holds a bounded number of filtered chunks and one run of texts at a time.
+    empty result.  A worker holds MOST_EDGES filtered edges, DRAW_CHARS characters of draws and RUN_BYTES of texts, or one
+    larger text, at a time.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("seed"))
     return texts.mapInArrow(_encode(name, sharpness), "doc_id long, n_pieces long, ids array<int>, lossless boolean, decoded_sha256 string")
@@ -337,7 +458,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nam
 
 def _decode(name: str):
     def run(batches):
-        v = Vocabulary(name)
+        v = vocabulary(name, SHARPNESS)
         for b in batches:
             texts = [v.decode(np.asarray(x or [], dtype=np.int64))[1:].tobytes().decode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
