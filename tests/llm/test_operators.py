@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemo.llm import exact_dedup, html_text, language_model, mixing, near_join, quality, sampled_pieces, suffix_dedup, token_counts, toxicity
 
@@ -52,7 +53,7 @@ def test_exact_dedup(table, bits):
 def test_exact_dedup_filter(odd):
     kept = exact_dedup.drop_copies(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 2, 4, 5, 6, 7, 8, 9]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 4, 5, 6, 7, 8, 9]
     assert exact_dedup.exact_groups(odd.limit(0)).count() == 0
 
 
@@ -133,6 +134,7 @@ def test_toxicity(spark, docs, odd):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lex = toxicity.learn(more, labels)
+    assert lex == toxicity.learn(more.repartition(7), labels)
     known = {r.doc_id: r.toxic for r in labels.collect()}
     got = toxicity.toxicity(more, labels).where("held_out").collect()
     held = [r for r in got if r.doc_id in known]
@@ -248,6 +250,30 @@ def test_near_links(table):
     assert {k: v for k, v in got.items() if k[0] is not None} == {k: v for k, v in want.items() if k[0] is not None}
 
 
+def shared_ids(spark):
+    """Two texts under id 1, a near copy of each, a repeated row, and near copies without ids."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (None, c), (None, c + " z"), (4, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_key", F.lit(1)).withColumn("text_key", F.lit(2))
+
+
+def test_near_shared_ids(spark):
+    docs = shared_ids(spark)
+    got = collections.Counter((r.doc_id, r.class_id, r.n_links) for r in near_join.near_links(docs).collect())
+    assert got == {(1, 1, 1): 1, (1, 1, 2): 1, (2, 1, 1): 1, (3, 1, 2): 2, (None, None, 1): 2, (4, 4, 0): 1}
+    kept = near_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = collections.Counter(r.doc_id for r in kept.collect())
+    assert ids == {1: 2, None: 1, 4: 1}
+
+
+def test_near_one_of_repeats(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, a, "x"), (1, a, "y"), (2, a + " z", "x")], "doc_id long, text string, lang string")
+    one, two = (near_join.one_of_each(docs.repartition(n)).collect() for n in (1, 3))
+    assert one == two and len(one) == 1 and one[0].doc_id == 1
+
+
 def test_near_tiles(spark, monkeypatch):
     """A component over many tiles gives the same links."""
     base = [f"w{k}" for k in range(120)]
@@ -370,13 +396,39 @@ def test_mix(docs):
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == sum(r.copies for r in got)
 
 
-def test_mix_odd(odd):
+def test_mix_shards(docs):
+    """Every copy lies in a shard of its own stretch: valid numbers, and shard sizes as the tree deals them."""
+    shards = 8
+    got = mixing.mix_plan(docs, shards=shards).collect()
+    assert all(0 <= x < shards for r in got for x in r.shards) and all(len(r.shards) == r.copies for r in got)
+    load = collections.Counter(x for r in got for x in r.shards)
+    assert set(load) == set(range(shards)) and max(load.values()) < 2 * min(load.values()) + 20
+    lone = docs.limit(1)  # one document: all its copies are fills or epochs
+    assert all(0 <= x < shards for r in mixing.mix_plan(lone, shards=shards).collect() for x in r.shards)
+
+
+def test_mix_odd(spark, odd):
     got = mixing.mix_plan(odd).collect()
     assert len(got) == odd.count() and {r.doc_id for r in got if r.size == 0} == {3, 4, 5}
     assert mixing.mixed(odd).columns == odd.columns
     assert mixing.mix_plan(odd.limit(0)).count() == 0
 
 
+def test_mix_repeated_ids(spark):
+    """Rows that share an id, or everything, are each taken as the plan says, and reruns agree."""
+    rows = [(i // 3, f"{'w ' * (i % 7 + 1)}{i if i % 2 else ''}", f"s{i % 2}", str(i)) for i in range(90)] + [(1, "w w", "s0", "x")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shards string")
+    plan = collections.Counter()
+    for r in mixing.mix_plan(docs).collect():
+        plan[(r.doc_id, r.size)] += r.copies
+    one, two = (collections.Counter(map(tuple, mixing.mixed(docs.repartition(n)).collect())) for n in (1, 4))
+    assert one == two
+    mix = collections.Counter()
+    for (i, t, _, _), n in one.items():
+        mix[(i, len(t.split()))] += n
+    assert mix == +plan
+
+
 # SentencePiece
 
 
@@ -414,6 +466,41 @@ def test_pieces_distribution():
     assert all(abs(seen[p] / n - w / total) < 0.02 for p, w in want.items()) and set(seen) <= set(want)
 
 
+def test_pieces_in_parts(monkeypatch):
+    """Bounds of memory do not change what is drawn: small draws, filters and tables give the same pieces."""
+    text = " ".join(f"word{i % 50} thén{i % 7}" for i in range(3000)) + " " + "x" * 300 + "漢" * 40
+    seeds = np.array([3, 4, 5], dtype=np.uint64)
+    whole = sampled_pieces.Lattice(sampled_pieces.vocabulary(sampled_pieces.MODEL, 1.0)).sample([text, "", "one two"], seeds)
+    for name, value in (("DRAW_CHARS", 500), ("FILTER_CHARS", 60), ("MOST_EDGES", 100), ("_DECODED", 64)):
+        monkeypatch.setattr(sampled_pieces, name, value)
+    lattice = sampled_pieces.Lattice(sampled_pieces.vocabulary(sampled_pieces.MODEL, 1.0))
+    parts = lattice.sample([text, "", "one two"], seeds)
+    assert (whole[0] == parts[0]).all() and whole[1].tolist() == parts[1].tolist() and whole[1][1] == 0
+    assert sampled_pieces._checked(lattice.v, parts[0][: parts[1][0]], text) == (True, sha(text.encode()))
+
+
+def test_very_long_text(monkeypatch):
+    """A text of 2 MB, with a chunk of 200,000 characters, is drawn in bounded memory."""
+    import tracemalloc
+
+    text = "some words " * 160_000 + "thenadi" * 30_000 + " tail"
+    v = sampled_pieces.vocabulary(sampled_pieces.MODEL, 1.0)
+    tracemalloc.start()
+    ids, per = sampled_pieces.Lattice(v).sample([text], np.array([1], dtype=np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and sampled_pieces._checked(v, ids, text)[0] and per.tolist() == [len(ids)]
+
+
+def test_long_chunk_distribution():
+    v = sampled_pieces.vocabulary(sampled_pieces.MODEL, 1.0)
+    lattice, n = sampled_pieces.Lattice(v), 20_000
+    ids, per = lattice.sample(["then"] * n, np.arange(n).astype(np.uint64))
+    short = collections.Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(per)[:-1]))
+    long = collections.Counter(tuple(lattice._draw_long(" then", k).tolist()) for k in range(n))
+    assert set(long) == set(short) and all(abs(long[p] - short[p]) < 0.02 * n for p in short)
+
+
 def test_long_chunks_filter_alike():
     v = sampled_pieces.Vocabulary()
     a, b = sampled_pieces.Lattice(v), sampled_pieces.Lattice(v)
