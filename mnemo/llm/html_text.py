@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from mnemo.llm.common import table
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed applet audio video canvas svg math datalist title meta link select option textarea xmp noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed applet audio video canvas datalist title meta link noembed noframes desc defs metadata annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split()
 )
@@ -42,12 +43,14 @@ _END_P = BLOCK - {"body", "html", "legend", "summary"}
 _IN_HEAD = frozenset("head title meta link base style script noscript template".split())
 #: Inline style that hides an element.
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)", re.S)
+_ONE_ATTR = r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)|(?:\"[^\"]*$|'[^']*$)|))?"
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^\s/>]*(?:[\s/]++|" + re.sub(r"\((?!\?)", "(?:", _ONE_ATTR) + r")*+(?:>|$)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_ATTR = re.compile(_ONE_ATTR)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-#: Cell padding stops at this width, so that one long cell does not pad all rows of its column.
-MOST_PAD = 40
+#: Blanks that align a column's cells are at most so many times the column's text, or this many; cells beyond the width
+#: that this leaves stand out, so that a page laid out by tables does not grow with rows times its longest cell.
+PAD_TIMES, PAD_LEAST = 8, 4000
 
 
 class Node:
@@ -57,15 +60,33 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
 
+class Open(list):
+    """The open elements, with a count by tag."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.count = Counter()
+
+    def add(self, node: Node) -> None:
+        self.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        """Close all from a place on."""
+        for n in self[at:]:
+            self.count[n.tag] -= 1
+        del self[at:]
+
+
 def parse(page: str) -> Node:
     """The tree of a page; wrong or missing tags never fail."""
     root = Node("#root")
-    stack, at, size = [root], 0, len(page)
+    stack, at, size = Open(root), 0, len(page)
 
     def text(raw: str) -> None:
         if raw:
             if stack[-1].tag == "head" and raw.strip():
-                stack.pop()
+                stack.cut(len(stack) - 1)
             stack[-1].kids.append(entities.unescape(raw) if "&" in raw else raw)
 
     while at < size:
@@ -86,51 +107,52 @@ def parse(page: str) -> Node:
             _close(stack, tag)
             continue
         _imply(stack, tag)
-        node = Node(tag, {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(token[name.end() :].rstrip("/>"))} if len(token) > name.end() + 1 else None)
+        node = Node(tag, {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(token[name.end() :].removesuffix(">"))} if len(token) > name.end() + 1 else None)
         stack[-1].kids.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
-            node.kids.append(page[at : end.start() if end else size])
+            raw = page[at : end.start() if end else size]
+            node.kids.append(entities.unescape(raw) if tag == "textarea" else raw)
             at = end.end() if end else size
             continue
-        if len(stack) < 512:  # deeper elements stay flat; their text is kept
-            stack.append(node)
+        stack.add(node)
     return root
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    if tag in ("br", "p") and not any(n.tag == tag for n in stack):
-        stack[-1].kids.append(Node(tag))
+def _close(stack: Open, tag: str) -> None:
+    if not stack.count[tag]:
+        if tag in ("br", "p"):
+            stack[-1].kids.append(Node(tag))
         return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == tag:
-            del stack[i:]
+            stack.cut(i)
             return
         if stack[i].tag in ("table", "td", "th") and tag not in BLOCK | {"tr", "td", "th", "tbody", "thead", "tfoot"}:
             return
 
 
-def _imply(stack: list[Node], tag: str) -> None:
+def _imply(stack: Open, tag: str) -> None:
     if stack[-1].tag == "head" and tag not in _IN_HEAD:
-        stack.pop()
-    if tag in _END_P:
+        stack.cut(len(stack) - 1)
+    if tag in _END_P and stack.count["p"]:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == "p":
-                del stack[i:]
+                stack.cut(i)
                 break
             if stack[i].tag in ("table", "td", "th", "li", "div", "section", "article", "blockquote", "button", "body"):
                 break
     ended, border = ENDS.get(tag), BORDER.get(tag)
-    if ended:
+    if ended and any(stack.count[x] for x in ended):
         low = len(stack)
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in border:
                 break
             if stack[i].tag in ended:
                 low = i
-        del stack[low:]
+        stack.cut(low)
 
 
 def visible(n: Node) -> bool:
@@ -200,11 +222,18 @@ class Page:
 def render(page: str) -> str:
     """The visible text of a page."""
     out = Page()
-    _walk(parse(page), out, False, 0)
+    running = [_walk(parse(page), out, False, 0)]
+    while running:  # steps that nest are generators on this stack, so depth is bounded by memory alone
+        inner = next(running[-1], None)
+        if inner is None:
+            running.pop()
+        else:
+            running.append(inner)
     return out.done()
 
 
-def _walk(n: Node, out: Page, pre: bool, depth: int) -> None:
+def _walk(n: Node, out: Page, pre: bool, depth: int):
+    """Render the kids of an element; yields the steps inside."""
     number = _first_number(n)
     for kid in n.kids:
         if isinstance(kid, str):
@@ -225,7 +254,7 @@ def _walk(n: Node, out: Page, pre: bool, depth: int) -> None:
                 out.text(f" {kid.attrs['value']} ")
         elif tag == "table":
             out.end_line(True)
-            _table(kid, out, depth)
+            yield _table(kid, out, depth)
             out.end_line(True)
         elif tag == "li":
             out.end_line()
@@ -238,7 +267,7 @@ def _walk(n: Node, out: Page, pre: bool, depth: int) -> None:
                 out.mark = "- "
             before = out.mark
             out.indent.append("")
-            _item(kid, out, pre, depth, len(before))
+            yield _item(kid, out, pre, depth, len(before))
             out.indent.pop()
             out.mark = ""
             out.end_line()
@@ -247,16 +276,28 @@ def _walk(n: Node, out: Page, pre: bool, depth: int) -> None:
             out.end_line(blank)
             if tag in ("blockquote", "dd"):
                 out.indent.append("  ")
-            _walk(kid, out, pre or tag == "pre", depth + (tag in ("ul", "ol", "menu", "dir")))
+            yield _walk(kid, out, pre or tag in ("pre", "textarea", "xmp"), depth + (tag in ("ul", "ol", "menu", "dir")))
             if tag in ("blockquote", "dd"):
                 out.indent.pop()
             out.end_line(blank)
         elif tag == "q":
             out.text('"')
-            _walk(kid, out, pre, depth)
+            yield _walk(kid, out, pre, depth)
             out.text('"')
+        elif tag == "select":
+            if (chosen := _chosen(kid)) is not None:
+                out.text(" ")
+                yield _walk(chosen, out, pre, depth)
+                out.text(" ")
         else:
-            _walk(kid, out, pre, depth)
+            yield _walk(kid, out, pre or tag in ("textarea", "xmp"), depth)
+
+
+def _chosen(n: Node) -> Node | None:
+    """The option of a select that a page shows: the last one marked so, or the first."""
+    options = [k for x in n.kids if isinstance(x, Node) for k in ([x] if x.tag == "option" else x.kids) if isinstance(k, Node) and k.tag == "option"]
+    marked = [k for k in options if "selected" in k.attrs]
+    return marked[-1] if marked else options[0] if options else None
 
 
 def _first_number(n: Node) -> int:
@@ -264,11 +305,11 @@ def _first_number(n: Node) -> int:
     return int(start) if start.lstrip("-").isdigit() else 1
 
 
-def _item(kid: Node, out: Page, pre: bool, depth: int, size: int) -> None:
+def _item(kid: Node, out: Page, pre: bool, depth: int, size: int):
     """A list item: its first line bears the mark, later lines and nested lists stand under its text."""
     mark, out.mark = out.mark, ""
     inner = Page()
-    _walk(kid, inner, pre, depth + 1)
+    yield _walk(kid, inner, pre, depth + 1)
     lines = inner.done().split("\n")
     for i, line in enumerate(lines):
         if not line and i:
@@ -280,57 +321,91 @@ def _item(kid: Node, out: Page, pre: bool, depth: int, size: int) -> None:
         out.end_line()
 
 
-def _table(n: Node, out: Page, depth: int) -> None:
-    """Rows of a table with cells aligned in columns, parted by two spaces; cells of several lines stay one cell."""
-    rows: list[list[tuple[list[str], int]]] = []
-
-    def gather(x: Node) -> None:
-        for kid in x.kids:
-            if isinstance(kid, str):
-                out.text(kid)
-            elif not visible(kid):
-                continue
-            elif kid.tag == "tr":
-                rows.append([])
-                for cell in kid.kids:
-                    if isinstance(cell, str):
-                        out.text(cell)
-                    elif visible(cell):
-                        inner = Page()
-                        _walk(cell if cell.tag in ("td", "th") else _wrap(cell), inner, False, depth)
-                        span = cell.attrs.get("colspan", "1")
-                        rows[-1].append((inner.done().split("\n"), min(int(span), 100) if span.isdigit() and int(span) else 1))
-            elif kid.tag in ("tbody", "thead", "tfoot"):
-                gather(kid)
-            elif kid.tag == "caption" or kid.tag not in ("colgroup", "col"):
-                out.end_line()
-                _walk(_wrap(kid) if kid.tag != "caption" else kid, out, False, depth)
-                out.end_line()
+def _table(n: Node, out: Page, depth: int):
+    """Rows of a table with cells aligned in columns, parted by two spaces; cells of several lines stay one cell.
 
-    gather(n)
+    A cell starts at the first column that no cell of a row above spans.
+    """
+    rows: list[list[tuple[int, int, list[str]]]] = []  # of each cell: first column, columns, lines
+    held: dict[int, int] = {}  # rows that a cell above still spans, by column
+    parts = [iter(n.kids)]
+    while parts:
+        kid = next(parts[-1], None)
+        if kid is None:
+            parts.pop()
+        elif isinstance(kid, str):
+            out.text(kid)
+        elif not visible(kid):
+            continue
+        elif kid.tag == "tr":
+            row, at, below = [], 0, {c: k - 1 for c, k in held.items() if k > 1}
+            for cell in kid.kids:
+                if isinstance(cell, str):
+                    out.text(cell)
+                elif visible(cell):
+                    inner = Page()
+                    yield _walk(cell if cell.tag in ("td", "th") else _wrap(cell), inner, False, depth)
+                    while at in held:
+                        at += 1
+                    wide, high = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+                    row.append((at, wide, inner.done().split("\n")))
+                    if high > 1:
+                        below |= dict.fromkeys(range(at, at + wide), high - 1)
+                    at += wide
+            rows.append(row)
+            held = below
+        elif kid.tag in ("tbody", "thead", "tfoot"):
+            held = {}  # a cell spans rows of its own group only
+            parts.append(iter(kid.kids))
+        elif kid.tag not in ("colgroup", "col"):
+            out.end_line()
+            yield _walk(_wrap(kid) if kid.tag != "caption" else kid, out, False, depth)
+            out.end_line()
     out.end_line()
-    widths: dict[int, int] = {}
+    widths = _column_widths(rows)
+    starts = [0]
+    for c in range(max((at + wide for r in rows for at, wide, _ in r), default=0)):
+        starts.append(starts[-1] + widths.get(c, 0) + 2)
     for r in rows:
-        at = 0
-        for lines, span in r:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), *(width(x) for x in lines))
-            at += span
-    for r in rows:
-        for k in range(max((len(lines) for lines, _ in r), default=0)):
-            line, at, place = "", 0, 0
-            for lines, span in r:
-                cell = lines[k] if k < len(lines) else ""
-                if cell:
-                    line += " " * max(place - width(line), 2 if line else 0) + cell
-                place += sum(min(widths.get(at + i, 0), MOST_PAD) + 2 for i in range(span))
-                at += span
+        for k in range(max((len(lines) for *_, lines in r), default=0)):
+            line = []
+            size = 0
+            for at, _, lines in r:
+                if k < len(lines) and lines[k]:
+                    gap = max(starts[at] - size, 2 if line else 0)
+                    line += [" " * gap, lines[k]]
+                    size += gap + width(lines[k])
             if line:
                 out._open()
-                out.now += line
+                out.now += "".join(line)
                 out.end_line()
 
 
+#: The largest spans of the HTML standard, 1000 columns and 65534 rows.
+def _span(cell: Node, name: str, most: int) -> int:
+    given = cell.attrs.get(name, "1").strip()
+    return min(int(given), most) if given.isascii() and given.isdigit() and len(given) < 9 and int(given) else 1
+
+
+def _column_widths(rows) -> dict[int, int]:
+    """The width of each column: its widest cell, or less where blanks would be far more than the column's text."""
+    sizes: dict[int, list[int]] = {}
+    for r in rows:
+        for at, wide, lines in r:
+            if wide == 1:
+                sizes.setdefault(at, []).extend(map(width, lines))
+    out = {}
+    for c, own in sizes.items():
+        own.sort()
+        room, blanks, out[c] = max(PAD_TIMES * sum(own), PAD_LEAST), 0, own[0]
+        for i in range(1, len(own)):  # widen to the next larger cell while the blanks for all smaller ones fit
+            blanks += (own[i] - own[i - 1]) * i
+            if blanks > room:
+                break
+            out[c] = own[i]
+    return out
+
+
 def _wrap(n: Node) -> Node:
     w = Node("td")
     w.kids.append(n)
