@@ -291,7 +291,7 @@ def test_html():
     page = """<html><head><title>no</title><style>p{}</style></head><body><h1>Head</h1><p>one <b>two</b>&amp;three<p>four<br>five
     <ul><li>a<li>b<ul><li>c</ul></ul><ol start=3><li>x<li>y</ol><table><tr><th>A<th>Bee<tr><td>long cell<td>1</table>
     <div hidden>gone</div><div style="color:red; display: none">gone</div><script>if (a < b) "</p>"</script><!-- gone --><pre>k
-  l</pre><textarea>gone</textarea>tail"""
+  l</pre><noembed>gone</noembed>tail"""
     out = html_text.render(page)
     assert out == "Head\n\none two&three\n\nfour\nfive\n\n- a\n- b\n  - c\n\n3. x\n4. y\n\nA          Bee\nlong cell  1\n\nk\n  l\n\ntail"
     for bad in ("", "<", "<p", "</div></p></table>", "<table><tr><td>a<table><tr><td>b", "<a href='x", "<li>" * 3000, "<div>" * 3000 + "deep", "a &#0; &bogus; &lt", "<!-- open", "<![CDATA[x]]>"):
@@ -299,6 +299,62 @@ def test_html():
     assert html_text.render("<div>" * 3000 + "deep") == "deep"
 
 
+def random_page(rng, depth=0):
+    """(markup, its visible words in order), words numbered so that each is unique."""
+    out, words = [], []
+
+    def word():
+        random_page.n += 1
+        return f"w{random_page.n}"
+
+    for _ in range(rng.integers(1, 5)):
+        kind = rng.choice(["text", "div", "p", "ul", "table", "hidden", "script", "inline", "comment", "select"]) if depth < 5 else "text"
+        a = word()
+        if kind == "text":
+            out.append(f" {a} ")
+            words.append(a)
+        elif kind in ("div", "p", "ul", "inline"):
+            inner, own = random_page(rng, depth + 1)
+            out.append({"div": f"<div class='x>y'>{inner}</div>", "p": f"<section><p>{a}</section>{inner}", "ul": f"<ul><li>{a}<li>{inner}</ul>", "inline": f"<b title=it's><i>{inner}</i></b>"}[kind])
+            words += ([a] if kind in ("p", "ul") else []) + own
+        elif kind == "table":
+            cells = [word() for _ in range(4)]
+            out.append("<table><tbody><tr><td>{}<td><b>{}</b><tr><th>{}</th><td>{}</table>".format(*cells))
+            words += cells
+        elif kind == "hidden":
+            inner, _ = random_page(rng, depth + 1)
+            out.append(rng.choice(["<div hidden>{}</div>", "<div style='display:none'>{}</div>", "<dialog>{}</dialog>", "<template>{}</template>"]).format(inner))
+        elif kind == "script":
+            out.append(f"<script>if (a < b) '{a}'</script>")
+        elif kind == "comment":
+            out.append(f"<!-- {a} <p> -->")
+        else:
+            b = word()
+            out.append(f"<select><option>{a}<option selected>{b}</select>")
+            words.append(b)
+    return "".join(out), words
+
+
+def test_html_random_pages():
+    """All visible words, in order and nothing else, on pages whose visible words are known."""
+    rng, random_page.n = np.random.Generator(np.random.PCG64(6)), 0
+    for _ in range(300):
+        page, words = random_page(rng)
+        assert re.findall(r"w\d+", html_text.render(page)) == words, page
+
+
+def test_html_layout():
+    render = html_text.render
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>") == "A  B\n   C\nD  E"
+    wide = "w" * 90
+    assert render(f"<table><tr><td>{wide}<td>q<tr><td>s<td>t</table>") == f"{wide}  q\ns{' ' * 91}t"
+    assert render("<div hidden>" + "<b>" * 2000 + "secret</div>end") == "end"
+    assert render("<table><tr><td>" * 1000 + "x") == "x" and render("<table><div>" * 2000 + "y") == "y"
+    assert render("<textarea>a &amp;\n b</textarea><math><mi>m</mi></math><svg><title>no</title><text>s</text></svg>") == "a &\n bms"
+    big = "<table>" + f"<tr><td>{'z' * 100_000}<td>1" + "<tr><td>s<td>t" * 2000 + "</table>"
+    assert len(render(big)) < 200_000
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "<p>a"), (2, None), (3, ""), (1, "<p>a")], "page_id long, html string").selectExpr("*", "1 as text", "2 as n_chars")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0), (3, "", 0)]
