@@ -38,6 +38,22 @@ def quantized(a: Column, kind: str) -> Column:
     return F.transform(a, back)
 
 
+def encoded(a: Column, kind: str) -> Column:
+    """The codes of a vector: its least and largest value and, for each value, its level less 128."""
+    levels, low, high = float(LEVELS[kind]), F.array_min(a).cast("double"), F.array_max(a).cast("double")
+    step = (high - low) / levels
+    code = lambda x: F.when(step > 0, F.floor((x.cast("double") - low) / step + 0.5)).otherwise(F.lit(0))
+    codes = F.transform(a, lambda x: (F.least(F.greatest(code(x), F.lit(0)), F.lit(int(levels))) - 128).cast("tinyint"))
+    return F.when(a.isNotNull(), F.struct(low.cast("float").alias("low"), high.cast("float").alias("high"), codes.alias("codes")))
+
+
+def decoded(c: Column, kind: str) -> Column:
+    """The vector that codes stand for, in double precision."""
+    low = c["low"].cast("double")
+    step = (c["high"].cast("double") - low) / float(LEVELS[kind])
+    return F.transform(c["codes"], lambda x: low + (x.cast("int") + 128) * step)
+
+
 def storage_bytes(dimension: int, kind: str = "F32") -> int:
     """Bytes of one stored vector: 4 a value, or a code a value and 8 for the range."""
     return {"F32": 4 * dimension, "SQ8": dimension + 8, "SQ4": -(-dimension // 2) + 8}[kind]

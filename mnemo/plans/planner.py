@@ -83,8 +83,8 @@ class Scope:
 class Planner:
     """tables: name -> DataFrame (with hidden columns); metas: name -> metadata; edges: graph name -> edge DataFrame."""
 
-    def __init__(self, tables, metas: dict, edges, params: dict):
-        self.tables, self.metas, self.edges, self.params = tables, metas, edges, params
+    def __init__(self, tables, metas: dict, edges, params: dict, spark):
+        self.tables, self.metas, self.edges, self.params, self.spark = tables, metas, edges, params, spark
         self.ctes: dict[str, DataFrame] = {}
 
     def query(self, q: dict) -> DataFrame:
@@ -146,15 +146,13 @@ class Planner:
         return out.distinct()
 
     def _ids(self, values: list) -> DataFrame:
-        spark = next(iter(self.ctes.values())).sparkSession if self.ctes else self.edges(None).sparkSession
-        return spark.createDataFrame([(None if v is None else str(v),) for v in values], "start string")
+        return self.spark.createDataFrame([(None if v is None else str(v),) for v in values], "start string")
 
     # SELECT
 
     def select(self, s: dict) -> DataFrame:
         if s["from"] is None:
-            spark = self.edges(None).sparkSession
-            rows, scope, base = spark.range(1).drop("id"), Scope([]), None
+            rows, scope, base = self.spark.range(1).drop("id"), Scope([]), None
         else:
             df, alias, base = self.source(s["from"])
             inputs, types = [(alias, df.columns)], dict(df.dtypes)
@@ -270,21 +268,18 @@ class Planner:
         if meta is not None:
             if spec is None or spec["type"] != "VECTOR":
                 raise E.UnknownVectorIndex(column[2])
-            if spec["dimension"] != len(query):
+            if spec["dimension"] not in (None, len(query)):
                 raise E.VectorDimensionMismatch(f"{column[2]} has {spec['dimension']} values, the query {len(query)}")
         own = rows.select(*[F.col(f"`{owner}`.`{c}`").alias(c) for c in cols])
         if len(scope.inputs) > 1 and "__row_id" in cols:
             own = own.dropDuplicates(["__row_id"])
         own = own.where(F.col(f"`{column[2]}`").isNotNull())
-        for state in (meta or {}).get("options", {}).get("exclude_vector", []):
-            at = (meta["options"].get("state_machine") or {"column": "status"})["column"]
-            own = own.where(~F.coalesce(F.col(at) == state, F.lit(False)))
+        own = searchable(own, meta or {})
         tie = "__row_id" if "__row_id" in cols else cols[0]
-        kind = (spec or {}).get("quantization", "F32")
         if s["rank"]:
             got = self.ranked(own, base, column[2], query, s["rank"], s["limit"]).withColumn("score", F.col("rank"))
         else:
-            got = vector.top_k(own, column[2], query, s["limit"], tie, quantization=kind)
+            got = vector.top_k(own, column[2], query, s["limit"], tie)
         inner = Scope([(owner, got.columns)])
         got = got.alias(owner)
         if s["items"] is None:
@@ -347,6 +342,15 @@ class Planner:
         raise E.ParseError(f"{kind} cannot stand here")
 
 
+def searchable(rows: DataFrame, meta: dict) -> DataFrame:
+    """rows without those in a state that the table excludes from vector search."""
+    options = meta.get("options", {})
+    for state in options.get("exclude_vector", []):
+        at = (options.get("state_machine") or {"column": "status"})["column"]
+        rows = rows.where(~F.coalesce(F.col(at) == state, F.lit(False)))
+    return rows
+
+
 def anchor_column(meta: dict, table: str, other: dict, on: str) -> str:
     """The column of the anchor table that meets the joined table's column."""
     names = [c["name"] for c in meta["columns"]]

@@ -25,8 +25,9 @@ from mnemo.functions.vectors import storage_bytes
 from mnemo.operators import changes as C
 from mnemo.operators import graph, policy, vector
 from mnemo.plans.parser import parse
-from mnemo.plans.planner import Planner, Scope, anchor_column, constant, vector_of
-from mnemo.sources.store import Store, schema_of
+from mnemo.plans.planner import Planner, Scope, anchor_column, constant, searchable, vector_of
+from mnemo.sources.shared import cut
+from mnemo.sources.store import Store, name_stored, schema_of
 
 EDGE_COLUMNS = ("source_id", "target_id", "edge_type")
 #: The table of edges that belong to no user table.
@@ -103,6 +104,8 @@ class Engine:
         self.spark, self.store, self.plugins = spark, Store(spark, path), list(plugins)
         self._tx: dict | None = None
         self._subscriptions: list[Subscription] = []
+        self._attached: dict[str, DataFrame] = {}
+        self._feed_missing()
         for p in self.plugins:
             p.on_open(self)
 
@@ -129,6 +132,19 @@ class Engine:
     def table_names(self) -> list[str]:
         return sorted(t for t in self.state["tables"] if t != EDGES)
 
+    def attach(self, name: str, rows: DataFrame) -> None:
+        """Make a DataFrame a table that statements read but do not write, for this engine only; its types stay."""
+        self._attached[name] = rows
+
+    def _metas(self) -> dict:
+        """Metadata of the store's tables and of attached ones."""
+        kinds = {"string": "TEXT", "int": "INTEGER", "bigint": "INTEGER", "double": "REAL", "boolean": "BOOLEAN"}
+        out = dict(self.state["tables"])
+        for name, df in self._attached.items():
+            cols = [{"name": n, "type": kinds.get(t, "TIMESTAMP" if t.startswith("timestamp") else "VECTOR" if t.startswith("array") else "TEXT"), "dimension": None, "quantization": "F32"} for n, t in df.dtypes]
+            out[name] = {"columns": cols, "uniques": [], "options": {}, "indexes": {}}
+        return out
+
     def table_meta(self, table: str) -> dict:
         if table not in self.state["tables"]:
             raise E.TableNotFound(table)
@@ -156,10 +172,11 @@ class Engine:
     def edges(self, name: str | None = None, at: int | None = None) -> DataFrame:
         """Edges of a table with the edge columns, or of all such tables."""
         state, parts = self.state, []
-        named = name in state["tables"] and set(EDGE_COLUMNS) <= set(schema_of(state["tables"][name]).names)
+        named = name in self._attached or (name in state["tables"] and set(EDGE_COLUMNS) <= set(schema_of(state["tables"][name]).names))
         for t, meta in state["tables"].items():
             if set(EDGE_COLUMNS) <= set(schema_of(meta).names) and (not named or t in (name, EDGES)):
                 parts.append(self.store.read(state, t, at).select(*EDGE_COLUMNS))
+        parts += [df.select(*EDGE_COLUMNS) for t, df in self._attached.items() if set(EDGE_COLUMNS) <= set(df.columns) and (not named or t == name)]
         if not parts:
             return self.spark.createDataFrame([], "source_id string, target_id string, edge_type string")
         out = parts[0]
@@ -203,11 +220,13 @@ class Engine:
 
     def _planner(self, params: dict, at: int | None = None) -> Planner:
         def tables(name: str) -> DataFrame:
+            if name in self._attached:
+                return self._attached[name]
             if name not in self.state["tables"]:
                 raise E.TableNotFound(name)
             return self.store.read(self.state, name, at)
 
-        return Planner(tables, self.state["tables"], lambda g: self.edges(g, at), params)
+        return Planner(tables, self._metas(), lambda g: self.edges(g, at), params, self.spark)
 
     def _select(self, s: dict, params: dict, at: int | None) -> DataFrame:
         return self._planner(params, at).query(s)
@@ -216,7 +235,7 @@ class Engine:
 
     def begin(self) -> None:
         if self._tx is None:
-            self._tx = {"state": self.store.draft(), "base": self.store.state["version"], "lsn": self.store.state["lsn"] + 1, "tables": {}, "feed": []}
+            self._tx = {"state": self.store.draft(), "base": self.store.state["version"], "lsn": self.store.state["lsn"] + 1, "tables": {}}
 
     def rollback(self) -> None:
         self._tx = None
@@ -242,8 +261,7 @@ class Engine:
             self.store.publish(tx["state"])
         finally:
             self._tx = None
-        for write in tx["feed"]:
-            write()
+        self._feed_missing()
         event = CommitEvent("local", tx["lsn"], tuple(sorted(tx["tables"])), rows)
         self._subscriptions = [s for s in self._subscriptions if not s.closed]
         for s in self._subscriptions:
@@ -254,11 +272,11 @@ class Engine:
 
     def _autocommit(self, f):
         if self._tx is not None:
-            keep = (deepcopy(self._tx["state"]), dict(self._tx["tables"]), list(self._tx["feed"]))
+            keep = (deepcopy(self._tx["state"]), dict(self._tx["tables"]))
             try:
                 return f()
             except Exception:  # a failed statement leaves the transaction as it was
-                self._tx["state"], self._tx["tables"], self._tx["feed"] = keep
+                self._tx["state"], self._tx["tables"] = keep
                 raise
         self.begin()
         try:
@@ -271,20 +289,30 @@ class Engine:
     def _stage(self, table: str, rows: DataFrame | None = None, dead: DataFrame | None = None, count: int = 0) -> None:
         tx = self._tx
         if dead is not None:
-            part = self.store.add_graves(tx["state"], table, dead, tx["lsn"])
-            tx["feed"].append(lambda p=part: self._feed(table, p))
+            self.store.add_graves(tx["state"], table, dead, tx["lsn"])
         if rows is not None:
-            part = self.store.add_rows(tx["state"], table, rows, tx["lsn"])
-            tx["feed"].append(lambda p=part: self._feed(table, p))
+            self.store.add_rows(tx["state"], table, rows, tx["lsn"])
         tx["tables"][table] = tx["tables"].get(table, 0) + count
 
-    def _feed(self, table: str, part: dict) -> None:
-        """Append a committed part to the feed folder that streams read."""
-        df = self.spark.read.parquet(part["path"])
-        cols = [c for c in df.columns if not c.startswith("__")]
-        row = F.to_json(F.struct(*cols)) if cols else F.lit(None).cast("string")
-        out = df.select(F.lit(table).alias("table"), F.lit("insert" if part["kind"] == "rows" else "delete").alias("op"), F.col("__row_id").alias("row_id"), F.col("__lsn").alias("lsn"), row.alias("row"))
-        out.write.mode("append").parquet(f"{self.store.path}/feed")
+    def _feed_missing(self) -> None:
+        """Append commits to the feed folder that streams read.
+
+        The manifest says what was committed, and a mark is left after each commit that is in the feed; so a commit
+        whose writer was lost is appended by the next one to open the store.  A commit may then be there twice, never
+        missing; readers go by commit numbers.
+        """
+        state, done = self.store.state, self.store.marked("fed")
+        for lsn in sorted({p["lsn"] for parts in state["parts"].values() for p in parts if p["lsn"] > done}):
+            for table, parts in state["parts"].items():
+                if not any(p["lsn"] == lsn for p in parts):
+                    continue
+                born = self.store.born(state, table, lsn).withColumn("op", F.lit("insert"))
+                gone = self.store.dead(state, table, lsn - 1).where(F.col("__lsn") == lsn).withColumn("op", F.lit("delete"))
+                rows = born.unionByName(gone)
+                cols = [f"`{c}`" for c in schema_of(state["tables"][table]).names]
+                out = rows.select(F.lit(table).alias("table"), "op", F.col("__row_id").alias("row_id"), F.col("__lsn").alias("lsn"), F.to_json(F.struct(*cols)).alias("row"))
+                out.write.mode("append").parquet(f"{self.store.path}/feed")
+            self.store.mark("fed", lsn)
 
     # Values
 
@@ -411,6 +439,7 @@ class Engine:
         machine = meta["options"].get("state_machine")
         if machine and machine["column"] in values:
             self._check_states(table, self.scan(table), changed, machine)
+        self._check_unique(table, changed, set(values))
         fresh = df.join(self.scan(table).select(key), key, "left_anti")
         fresh = fresh.groupBy(key).agg(F.max_by(F.struct(*fresh.columns), "__ord").alias("__r")).select("__r.*")
         n_old = changed.count()
@@ -460,12 +489,7 @@ class Engine:
         names, machine = schema_of(meta).names, meta["options"].get("state_machine")
         if machine and machine["column"] in changed:
             self._check_states(table, old, new, machine)
-        for keys in [[k] for k in self._keys(meta)[0]] + self._keys(meta)[1]:
-            if changed & set(keys):
-                rest = self.scan(table).join(new.select("__row_id"), "__row_id", "left_anti")
-                both = rest.select(*keys).unionByName(new.select(*keys)).where(policy._all_set(keys))
-                if both.groupBy(*keys).count().where("count > 1").take(1):
-                    raise E.UniqueViolation(f"{table}.{','.join(keys)}")
+        self._check_unique(table, new, changed)
         n = new.count()
         if not n:
             return Result(0)
@@ -474,13 +498,23 @@ class Engine:
         if propagate and state_col in changed and self._rules():
             before = old.select("__row_id", F.col(state_col).alias("__was"))
             moved = new.join(before, "__row_id").where(~F.col("__was").eqNullSafe(F.col(state_col))).select(F.lit(table).alias("table"), F.col("id").cast("string").alias("id"), F.col(state_col).alias("to"))
-            moved = self.spark.createDataFrame(moved.collect(), moved.schema) if n <= 1000 else moved
+            moved = cut(moved, "moved")
         self._stage(table, new.select(*names), new.select("__row_id"), n)
         done = {}
         if moved is not None:
             done = self._propagate(moved)
         return Result(n, details={"propagated": done})
 
+    def _check_unique(self, table: str, new: DataFrame, changed: set[str]) -> None:
+        """Refuse changed rows whose keys another row has."""
+        meta = self.table_meta(table)
+        for keys in [[k] for k in self._keys(meta)[0]] + self._keys(meta)[1]:
+            if changed & set(keys):
+                rest = self.scan(table).join(new.select("__row_id"), "__row_id", "left_anti")
+                both = rest.select(*keys).unionByName(new.select(*keys)).where(policy._all_set(keys))
+                if both.groupBy(*keys).count().where("count > 1").take(1):
+                    raise E.UniqueViolation(f"{table}.{','.join(keys)}")
+
     def _check_states(self, table: str, old: DataFrame, new: DataFrame, machine: dict) -> None:
         if bad := policy.invalid_transitions(old, new, "__row_id", machine["column"], machine["moves"]).take(1):
             raise E.InvalidStateTransition(f"{table}: {bad[0].old} -> {bad[0].new}")
@@ -577,6 +611,7 @@ class Engine:
             raise E.TableExists(name)
         meta = {"columns": s["columns"], "uniques": s["uniques"], "options": s["options"], "indexes": {}}
         for c in meta["columns"]:
+            name_stored(meta, c)
             if c.get("expires") and c["type"] != "TIMESTAMP":
                 raise E.ParseError("EXPIRES needs a TIMESTAMP column")
             if c.get("primary"):
@@ -641,6 +676,7 @@ class Engine:
                 raise E.ParseError("a primary key cannot be added")
             if c.get("expires") and c["type"] != "TIMESTAMP":
                 raise E.ParseError("EXPIRES needs a TIMESTAMP column")
+            name_stored(meta, c)
             meta["columns"].append(c)
             if "rank_policy" in c:
                 self._check_rank_policy(state, s["table"], c)
@@ -655,9 +691,7 @@ class Engine:
             if action == "rename":
                 if s["to"] in names:
                     raise E.ParseError(f"{s['to']} exists")
-                meta.setdefault("renamed", [])
                 c["name"] = s["to"]
-                meta["renamed"].append({"from": s["column"], "to": s["to"], "lsn": state["lsn"] + 1})
                 for cols in meta["indexes"].values():
                     for x in cols:
                         x[0] = s["to"] if x[0] == s["column"] else x[0]
@@ -795,14 +829,22 @@ class Engine:
         starts = self.spark.createDataFrame([(start,)], "start string")
         return graph.bfs_paths(self.edges(None, at), starts, edge_types, direction, most)
 
+    def bfs(self, starts: list[str] | DataFrame, edge_types=None, direction: str = "out", least: int = 1, most: int = 1, at: int | None = None, name: str | None = None, most_visited: int | None = None) -> DataFrame:
+        """(start, node, depth) from many starts at once: ids, or a DataFrame with a column start."""
+        first = starts if isinstance(starts, DataFrame) else self.spark.createDataFrame([(x,) for x in starts], "start string")
+        return graph.bfs(self.edges(name, at), first, edge_types, direction, least, most, most_visited)
+
     def query_vector(self, table: str, column: str, query: list[float], k: int, at: int | None = None) -> DataFrame:
         c = next((c for c in self.table_meta(table)["columns"] if c["name"] == column and c["type"] == "VECTOR"), None)
         if c is None:
             raise E.UnknownVectorIndex(f"{table}.{column}")
         if len(query) != c["dimension"]:
             raise E.VectorDimensionMismatch(f"{column} has {c['dimension']} values")
-        rows = self.scan(table, at).where(F.col(column).isNotNull())
-        return vector.top_k(rows, column, query, k, "__row_id", quantization=c["quantization"])
+        return vector.top_k(self._searchable(table, self.scan(table, at), column), column, query, k, "__row_id")
+
+    def _searchable(self, table: str, rows: DataFrame, column: str) -> DataFrame:
+        """Rows with a vector, without those whose state is excluded from vector search."""
+        return searchable(rows.where(F.col(column).isNotNull()), self.table_meta(table))
 
     def semantic_search(self, table: str, column: str, query: list[float], limit: int, sort_key: str | None = None, min_similarity: float | None = None, where: str | None = None, params: dict | None = None) -> DataFrame:
         """Rows with vector_score and, with a sort key, rank; min_similarity bounds the similarity before the formula."""
@@ -810,7 +852,7 @@ class Engine:
         if where:
             cond = parse(f"SELECT * FROM {table} WHERE {where}")["body"]["where"]
             rows = self._where_rows(table, cond, params or {})
-        rows = rows.where(F.col(column).isNotNull())
+        rows = self._searchable(table, rows, column)
         if sort_key:
             got = self._planner(params or {}).ranked(rows, table, column, query, sort_key, limit, min_similarity)
             return got.drop("__row_id", "__lsn", "__created_at")
@@ -838,6 +880,29 @@ class Engine:
         gone = dead.join(self.scan(table).select(*keys), keys, "left_anti")
         return C.changes_since(born.unionByName(gone), lsn, keys)
 
+    def push(self, target, table: str, since: int = 0, policy_name: str | None = None) -> Result:
+        """Apply a table's changes after a commit number to another engine, through this one's push hooks."""
+        feed = self.changes_since(table, since)
+        for p in self.plugins:
+            feed = p.on_sync_push(feed)
+        return target.apply_changes(table, feed, policy_name)
+
+    def pull(self, source, since: int = 0, directions: dict[str, str] | None = None, policy_name: str | None = None) -> dict[str, Result]:
+        """Bring another engine's tables here: its statements that made or changed tables, then their changes.
+
+        directions maps a table to Push, Pull, Both or None; tables without one go both ways.
+        """
+        for entry in source.ddl_log_since(since):
+            s = entry["ddl"]
+            if s["do"] == "create_table" and s["name"] in self.state["tables"]:
+                continue
+            self._ddl(deepcopy(s))
+        out = {}
+        for t in source.table_names():
+            if (directions or {}).get(t, "Both") in ("Pull", "Both"):
+                out[t] = source.push(self, t, since, policy_name and C.remapped(policy_name))
+        return out
+
     def ddl_log_since(self, lsn: int) -> list[dict]:
         return [x for x in self.store.state["log"] if x["lsn"] > lsn]
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemo.errors import CommitConflict
+from mnemo.functions.vectors import decoded, encoded
 from mnemo.sources.shared import shared_folder
 
 TYPES = {
@@ -25,11 +26,36 @@ TYPES = {
 }
 HIDDEN = ("__row_id", "__lsn", "__created_at")
 _HIDDEN = [T.StructField("__row_id", T.LongType()), T.StructField("__lsn", T.LongType()), T.StructField("__created_at", T.LongType())]
+CODES = T.StructType([T.StructField("low", T.FloatType()), T.StructField("high", T.FloatType()), T.StructField("codes", T.ArrayType(T.ByteType()))])
 GRAVES = T.StructType([T.StructField("__row_id", T.LongType()), T.StructField("__lsn", T.LongType())])
 
 
+def coded(c: dict) -> bool:
+    """Whether a column's vectors are stored as codes."""
+    return c["type"] == "VECTOR" and c.get("quantization", "F32") != "F32"
+
+
 def schema_of(meta: dict) -> T.StructType:
-    return T.StructType([T.StructField(c["name"], TYPES[c["type"]]) for c in meta["columns"]])
+    return T.StructType([T.StructField(c["name"], T.ArrayType(T.DoubleType()) if coded(c) else TYPES[c["type"]]) for c in meta["columns"]])
+
+
+def stored_schema(meta: dict) -> T.StructType:
+    """Columns as parts hold them: under names that are never used again, so that a dropped column's values cannot return."""
+    kind = lambda c: CODES if coded(c) else TYPES[c["type"]]
+    return T.StructType([*[T.StructField(c.get("stored", c["name"]), kind(c)) for c in meta["columns"]], *_HIDDEN])
+
+
+def name_stored(meta: dict, column: dict) -> None:
+    """Give a new column of a table the name that parts know it by."""
+    used = meta.setdefault("stored_names", [])
+    column["stored"] = column["name"] if column["name"] not in used else f"{column['name']}__{len(used)}"
+    used.append(column["stored"])
+
+
+def _seen(meta: dict, df: DataFrame) -> DataFrame:
+    """Rows of parts with the columns' present names and decoded vectors."""
+    col = lambda c: F.col(f"`{c.get('stored', c['name'])}`")
+    return df.select(*[(decoded(col(c), c["quantization"]) if coded(c) else col(c)).alias(c["name"]) for c in meta["columns"]], *HIDDEN)
 
 
 class Store:
@@ -88,7 +114,8 @@ class Store:
         base = state["next_row"]
         part = {"path": f"{self.path}/parts/{table}/{uuid.uuid4().hex}", "kind": "rows", "lsn": lsn}
         now = created if created is not None else int(time.time() * 1000)
-        numbered = rows.select(*[f.name for f in schema_of(state["tables"][table])], (F.lit(base) + F.monotonically_increasing_id()).alias("__row_id"), F.lit(lsn).cast("long").alias("__lsn"), F.lit(now).cast("long").alias("__created_at"))
+        cols = [(encoded(F.col(f"`{c['name']}`"), c["quantization"]) if coded(c) else F.col(f"`{c['name']}`")).alias(c.get("stored", c["name"])) for c in state["tables"][table]["columns"]]
+        numbered = rows.select(*cols, (F.lit(base) + F.monotonically_increasing_id()).alias("__row_id"), F.lit(lsn).cast("long").alias("__lsn"), F.lit(now).cast("long").alias("__created_at"))
         numbered.write.parquet(part["path"])
         state["next_row"] = (self.spark.read.parquet(part["path"]).agg(F.max("__row_id")).first()[0] or base) + 1
         state["parts"].setdefault(table, []).append(part)
@@ -104,31 +131,14 @@ class Store:
         """Visible rows with the hidden columns, at a commit number or at the state's last."""
         meta = state["tables"][table]
         parts = [p for p in state["parts"].get(table, []) if lsn is None or p["lsn"] <= lsn]
-        schema = T.StructType([*schema_of(meta).fields, *_HIDDEN])
-        renamed = meta.get("renamed", [])
-        rows, graves = [p for p in parts if p["kind"] == "rows"], [p["path"] for p in parts if p["kind"] == "graves"]
+        rows, graves = [p["path"] for p in parts if p["kind"] == "rows"], [p["path"] for p in parts if p["kind"] == "graves"]
         if not rows:
-            return self.spark.createDataFrame([], schema)
-        if not renamed:
-            df = self.spark.read.schema(schema).parquet(*[p["path"] for p in rows])
-        else:  # parts from before a column was renamed hold it under its old name
-            frames = []
-            for p in rows:
-                stored = []
-                for f in schema.fields:
-                    name = f.name
-                    for n in reversed(renamed):
-                        if n["to"] == name and p["lsn"] < n["lsn"]:
-                            name = n["from"]
-                    stored.append(T.StructField(name, f.dataType))
-                frames.append(self.spark.read.schema(T.StructType(stored)).parquet(p["path"]).toDF(*schema.names))
-            df = frames[0]
-            for f in frames[1:]:
-                df = df.unionByName(f)
+            return self.spark.createDataFrame([], T.StructType([*schema_of(meta).fields, *_HIDDEN]))
+        df = self.spark.read.schema(stored_schema(meta)).parquet(*rows)
         if graves:
             dead = self.spark.read.schema(GRAVES).parquet(*graves).select("__row_id")
             df = df.join(dead, "__row_id", "left_anti")
-        return df.select(*schema.names)
+        return _seen(meta, df)
 
     def dead(self, state: dict, table: str, since: int) -> DataFrame:
         """Rows deleted after a commit number, as they were, with the deleting commit as __lsn."""
@@ -140,8 +150,24 @@ class Store:
         if not graves or not rows:
             return self.spark.createDataFrame([], schema)
         gone = self.spark.read.schema(GRAVES).parquet(*graves).select("__row_id", F.col("__lsn").alias("__gone"))
-        df = self.spark.read.schema(schema).parquet(*rows).join(gone, "__row_id")
-        return df.withColumn("__lsn", F.col("__gone")).select(*schema.names)
+        df = self.spark.read.schema(stored_schema(meta)).parquet(*rows).join(gone, "__row_id")
+        return _seen(meta, df.withColumn("__lsn", F.col("__gone")))
+
+    def born(self, state: dict, table: str, lsn: int) -> DataFrame:
+        """Rows that a commit wrote, deleted later or not."""
+        meta, rows = state["tables"][table], [p["path"] for p in state["parts"].get(table, []) if p["kind"] == "rows" and p["lsn"] == lsn]
+        if not rows:
+            return self.spark.createDataFrame([], T.StructType([*schema_of(meta).fields, *_HIDDEN]))
+        return _seen(meta, self.spark.read.schema(stored_schema(meta)).parquet(*rows))
+
+    def mark(self, name: str, lsn: int) -> None:
+        """Leave a mark that work called name is done up to a commit number."""
+        self._fs.create(self._at(f"{name}/{lsn:012d}"), True).close()
+
+    def marked(self, name: str) -> int:
+        """The last commit number marked."""
+        where = self._at(name)
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(where)), default=0) if self._fs.exists(where) else 0
 
     def size(self) -> int:
         """Bytes of all files of the store."""
@@ -149,8 +175,18 @@ class Store:
 
     def compact(self, state: dict, table: str, lsn: int) -> None:
         """Rewrite a table's visible rows as one part; older commit numbers of the table can no longer be read."""
-        rows = self.read(state, table)
+        meta, parts = state["tables"][table], state["parts"].get(table, [])
+        rows, graves = [p["path"] for p in parts if p["kind"] == "rows"], [p["path"] for p in parts if p["kind"] == "graves"]
+        if not rows:
+            return
+        df = self.spark.read.schema(stored_schema(meta)).parquet(*rows)
+        if graves:
+            df = df.join(self.spark.read.schema(GRAVES).parquet(*graves).select("__row_id"), "__row_id", "left_anti")
+        leads = [cols for name, cols in meta["indexes"].items() if not name.startswith("__")]
+        if leads:  # in the order of the first index: row groups then hold ranges of it, which filters skip
+            by = {c["name"]: c.get("stored", c["name"]) for c in meta["columns"]}
+            keys = [F.col(f"`{by[c]}`").desc() if way == "DESC" else F.col(f"`{by[c]}`").asc() for c, way in leads[0]]
+            df = df.sort(*keys)
         part = {"path": f"{self.path}/parts/{table}/{uuid.uuid4().hex}", "kind": "rows", "lsn": 0}
-        rows.write.parquet(part["path"])
+        df.write.parquet(part["path"])
         state["parts"][table] = [part]
-        state["tables"][table].pop("renamed", None)
