@@ -59,6 +59,12 @@ def bfs(edges: DataFrame, starts: DataFrame, edge_types=None, direction: str = "
     hops = adjacency(edges, edge_types, direction)
     seen = starts.select("start").where("start is not null").distinct().withColumn("node", F.col("start")).withColumn("depth", F.lit(0))
     frontier = seen
+    if most == 1:  # single hops need no set of visited nodes
+        step = seen.select("start").join(hops, F.col("start") == F.col("a")).where("b != start")
+        found = step.select("start", F.col("b").alias("node"), F.lit(1).alias("depth")).distinct()
+        if most_visited is not None and found.groupBy("start").count().where(F.col("count") > most_visited).take(1):
+            raise BfsVisitedExceeded(f"more than {most_visited} nodes")
+        return found
     for depth in range(1, most + 1):
         step = frontier.select("start", "node").join(hops, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
         frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))

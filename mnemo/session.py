@@ -27,13 +27,15 @@ from mnemo.operators import graph, policy, vector
 from mnemo.plans.parser import parse
 from mnemo.plans.planner import Planner, Scope, anchor_column, constant, searchable, vector_of
 from mnemo.sources.shared import cut
-from mnemo.sources.store import Store, name_stored, schema_of
+from mnemo.sources.store import HIDDEN, Store, name_stored, schema_of
 
 EDGE_COLUMNS = ("source_id", "target_id", "edge_type")
 #: The table of edges that belong to no user table.
 EDGES = "__edges"
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}")
 FOREVER = 2**63 - 1
+#: Nodes that a traversal from one start may reach.
+MOST_VISITED = 100_000
 
 
 @dataclass
@@ -146,17 +148,21 @@ class Engine:
         return out
 
     def table_meta(self, table: str) -> dict:
+        if table in self._attached:
+            return self._metas()[table]
         if table not in self.state["tables"]:
             raise E.TableNotFound(table)
         return self.state["tables"][table]
 
     def scan(self, table: str, at: int | None = None) -> DataFrame:
-        """Visible rows with hidden columns __row_id, __lsn, __created_at."""
+        """Visible rows with hidden columns __row_id, __lsn, __created_at; an attached table as it is."""
+        if table in self._attached:
+            return self._attached[table]
         self.table_meta(table)
         return self.store.read(self.state, table, at)
 
     def rows(self, table: str, at: int | None = None) -> DataFrame:
-        return self.scan(table, at).select(*schema_of(self.table_meta(table)).names)
+        return self.scan(table, at).drop(*HIDDEN)
 
     def scan_filter(self, table: str, condition, at: int | None = None) -> DataFrame:
         return self.scan(table, at).where(condition)
@@ -213,6 +219,8 @@ class Engine:
         if do == "show":
             return self._show(s["what"])
         if do in ("insert", "update", "delete"):
+            if s["table"] in self._attached:
+                raise E.ImmutableTable(s["table"])
             return self._autocommit(lambda: getattr(self, f"_{do}")(s, params))
         for p in self.plugins:
             p.on_ddl(s)
@@ -389,6 +397,14 @@ class Engine:
                 raise E.NotNullViolation(c["name"])
         return self._autocommit(lambda: self._insert_frame(table, df))
 
+    def upsert_rows(self, table: str, rows: DataFrame, key: str, updated: list[str]) -> Result:
+        """INSERT … ON CONFLICT (key) DO UPDATE of a DataFrame: the last row of a key counts, in the order of rows."""
+        fields = schema_of(self.table_meta(table)).fields
+        have = set(rows.columns)
+        df = cut(rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], F.monotonically_increasing_id().alias("__ord")), "upsert")
+        sets = [(c, ("col", "EXCLUDED", c)) for c in updated]
+        return self._autocommit(lambda: self._upsert(table, df, [key], sets, {}, rows.columns))
+
     def insert_row(self, table: str, values: dict) -> Result:
         meta = self.table_meta(table)
         given = [n for n in schema_of(meta).names if n in values]
@@ -825,12 +841,19 @@ class Engine:
         e = self.edges(None, at).where(F.col("source_id") == source)
         return (e.where(F.col("edge_type") == edge_type) if edge_type else e).count()
 
+    def edge_counts(self, edge_type: str, at: int | None = None) -> DataFrame:
+        """(source_id, n): outgoing edges of a type, for every source that has one."""
+        return self.edges(None, at).where(F.col("edge_type") == edge_type).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
     def query_bfs(self, start: str, edge_types=None, direction: str = "out", most: int = 3, at: int | None = None) -> DataFrame:
         starts = self.spark.createDataFrame([(start,)], "start string")
         return graph.bfs_paths(self.edges(None, at), starts, edge_types, direction, most)
 
-    def bfs(self, starts: list[str] | DataFrame, edge_types=None, direction: str = "out", least: int = 1, most: int = 1, at: int | None = None, name: str | None = None, most_visited: int | None = None) -> DataFrame:
-        """(start, node, depth) from many starts at once: ids, or a DataFrame with a column start."""
+    def bfs(self, starts: list[str] | DataFrame, edge_types=None, direction: str = "out", least: int = 1, most: int = 1, at: int | None = None, name: str | None = None, most_visited: int | None = MOST_VISITED) -> DataFrame:
+        """(start, node, depth) from many starts at once: ids, or a DataFrame with a column start.
+
+        A start that reaches more than most_visited nodes is an error; None sets no limit.
+        """
         first = starts if isinstance(starts, DataFrame) else self.spark.createDataFrame([(x,) for x in starts], "start string")
         return graph.bfs(self.edges(name, at), first, edge_types, direction, least, most, most_visited)
 
@@ -838,9 +861,10 @@ class Engine:
         c = next((c for c in self.table_meta(table)["columns"] if c["name"] == column and c["type"] == "VECTOR"), None)
         if c is None:
             raise E.UnknownVectorIndex(f"{table}.{column}")
-        if len(query) != c["dimension"]:
+        if c["dimension"] not in (None, len(query)):
             raise E.VectorDimensionMismatch(f"{column} has {c['dimension']} values")
-        return vector.top_k(self._searchable(table, self.scan(table, at), column), column, query, k, "__row_id")
+        rows = self._searchable(table, self.scan(table, at), column)
+        return vector.top_k(rows, column, query, k, "__row_id" if "__row_id" in rows.columns else rows.columns[0])
 
     def _searchable(self, table: str, rows: DataFrame, column: str) -> DataFrame:
         """Rows with a vector, without those whose state is excluded from vector search."""
@@ -856,7 +880,7 @@ class Engine:
         if sort_key:
             got = self._planner(params or {}).ranked(rows, table, column, query, sort_key, limit, min_similarity)
             return got.drop("__row_id", "__lsn", "__created_at")
-        got = vector.top_k(rows, column, query, limit, "__row_id", min_similarity)
+        got = vector.top_k(rows, column, query, limit, "__row_id" if "__row_id" in rows.columns else rows.columns[0], min_similarity)
         return got.withColumnRenamed("score", "vector_score").drop("__row_id", "__lsn", "__created_at")
 
     # Feeds, retention, subscriptions

@@ -151,38 +151,119 @@ def test_graph_and_vector(engine):
     assert engine.edge_count("A") == 1 and engine.delete_edge("E", "F", "LIKES")
 
 
-def test_flagship_recall(engine):
+def test_hybrid_recall(engine):
+    """Which open repair orders rest on the machine that similar sensor readings were taken at."""
     ex = engine.execute
-    ex("CREATE TABLE decisions (id TEXT PRIMARY KEY, description TEXT, status TEXT)")
-    ex("CREATE TABLE observations (id TEXT PRIMARY KEY, embedding VECTOR(3))")
-    ex("CREATE TABLE edges (source_id TEXT, target_id TEXT, edge_type TEXT)")
-    ex("INSERT INTO decisions VALUES ('d1', 'open the gate', 'active'), ('d2', 'old', 'superseded')")
-    ex("INSERT INTO observations VALUES ('o1', [1, 0, 0]), ('o2', [0.9, 0.1, 0]), ('o3', [0, 0, 1])")
-    ex("INSERT INTO edges VALUES ('o1', 'e1', 'OBSERVED_ON'), ('o2', 'e1', 'OBSERVED_ON'), ('o3', 'e2', 'OBSERVED_ON'), ('d1', 'e1', 'BASED_ON'), ('d2', 'e1', 'BASED_ON')")
+    ex("CREATE TABLE repairs (id TEXT PRIMARY KEY, what TEXT, open BOOLEAN)")
+    ex("CREATE TABLE readings (id TEXT PRIMARY KEY, shape VECTOR(3))")
+    ex("CREATE TABLE links (source_id TEXT, target_id TEXT, edge_type TEXT)")
+    ex("INSERT INTO repairs VALUES ('r1', 'new bearing', TRUE), ('r2', 'oil', FALSE), ('r3', 'belt', TRUE)")
+    ex("INSERT INTO readings VALUES ('x1', [0, 1, 0]), ('x2', [0, 0.9, 0.2]), ('x3', [1, 0, 0])")
+    ex("INSERT INTO links VALUES ('x1', 'press', 'TAKEN_AT'), ('x2', 'press', 'TAKEN_AT'), ('x3', 'lathe', 'TAKEN_AT'), ('r1', 'press', 'CONCERNS'), ('r2', 'press', 'CONCERNS'), ('r3', 'lathe', 'CONCERNS')")
     got = ex(
-        """WITH similar AS (SELECT id FROM observations ORDER BY embedding <=> $q LIMIT 2),
-        reached AS (SELECT dec_id FROM GRAPH_TABLE(edges MATCH (o)-[:OBSERVED_ON]->(e)<-[:BASED_ON]-(d) WHERE o.id IN (SELECT id FROM similar) COLUMNS (d.id AS dec_id)))
-        SELECT d.id, d.description FROM decisions d INNER JOIN reached r ON d.id = r.dec_id WHERE d.status = 'active'""",
-        {"q": [1.0, 0.0, 0.0]},
+        """WITH alike AS (SELECT id FROM readings ORDER BY shape <=> $q LIMIT 2),
+        near AS (SELECT job FROM GRAPH_TABLE(links MATCH (x)-[:TAKEN_AT]->(m)<-[:CONCERNS]-(j) WHERE x.id IN (SELECT id FROM alike) COLUMNS (j.id AS job)))
+        SELECT r.id, r.what FROM repairs r INNER JOIN near n ON r.id = n.job WHERE r.open""",
+        {"q": [0.0, 1.0, 0.0]},
     )
-    assert rows(got) == [("d1", "open the gate")]
-    assert "GRAPH" not in engine.explain("SELECT id FROM decisions WHERE status = 'active'") and "Scan parquet" in engine.explain("SELECT id FROM decisions WHERE status = 'active'")
+    assert rows(got) == [("r1", "new bearing")]
+    plan = engine.explain("SELECT id FROM repairs WHERE open = TRUE")
+    assert "Scan parquet" in plan and "PushedFilters" in plan
 
 
 def test_state_machine_and_propagation(engine):
     ex = engine.execute
-    ex("CREATE TABLE intentions (id TEXT PRIMARY KEY, status TEXT) STATE MACHINE (status: active -> [archived, paused])")
-    ex("CREATE TABLE decisions (id TEXT PRIMARY KEY, status TEXT, intention_id TEXT REFERENCES intentions(id) ON STATE archived PROPAGATE SET invalidated, v VECTOR(2)) STATE MACHINE (status: active -> [invalidated]) PROPAGATE ON EDGE CITES INCOMING STATE invalidated SET invalidated PROPAGATE ON STATE invalidated EXCLUDE VECTOR")
-    ex("CREATE TABLE edges (source_id TEXT, target_id TEXT, edge_type TEXT)")
-    ex("INSERT INTO intentions VALUES ('i1', 'active'), ('i2', 'paused')")
-    ex("INSERT INTO decisions VALUES ('d1', 'active', 'i1', [1, 0]), ('d2', 'active', NULL, [1, 0]), ('d3', 'active', NULL, [1, 0])")
-    ex("INSERT INTO edges VALUES ('d2', 'd1', 'CITES')")
+    ex("CREATE TABLE recipes (id TEXT PRIMARY KEY, status TEXT) STATE MACHINE (status: draft -> [live], live -> [withdrawn])")
+    ex("CREATE TABLE batches (id TEXT PRIMARY KEY, status TEXT, recipe TEXT REFERENCES recipes(id) ON STATE withdrawn PROPAGATE SET recalled, taste VECTOR(2)) STATE MACHINE (status: sold -> [recalled], made -> [recalled, sold]) PROPAGATE ON EDGE MADE_FROM INCOMING STATE recalled SET recalled PROPAGATE ON STATE recalled EXCLUDE VECTOR")
+    ex("CREATE TABLE uses (source_id TEXT, target_id TEXT, edge_type TEXT)")
+    ex("INSERT INTO recipes VALUES ('soup', 'live'), ('cake', 'draft')")
+    ex("INSERT INTO batches VALUES ('b1', 'made', 'soup', [0, 1]), ('b2', 'sold', NULL, [0, 1]), ('b3', 'made', 'cake', [0, 1])")
+    ex("INSERT INTO uses VALUES ('b2', 'b1', 'MADE_FROM')")
     with pytest.raises(E.InvalidStateTransition):
-        ex("UPDATE intentions SET status = 'archived' WHERE id = 'i2'")
-    got = ex("UPDATE intentions SET status = 'archived' WHERE id = 'i1'")
-    assert got.details["propagated"] == {"decisions": 2}
-    assert rows(ex("SELECT id, status FROM decisions ORDER BY id")) == [("d1", "invalidated"), ("d2", "invalidated"), ("d3", "active")]
-    assert rows(ex("SELECT id FROM decisions ORDER BY v <=> [1, 0] LIMIT 5")) == [("d3",)]
+        ex("UPDATE recipes SET status = 'withdrawn' WHERE id = 'cake'")
+    got = ex("UPDATE recipes SET status = 'withdrawn' WHERE id = 'soup'")
+    assert got.details["propagated"] == {"batches": 2}
+    assert rows(ex("SELECT id, status FROM batches ORDER BY id")) == [("b1", "recalled"), ("b2", "recalled"), ("b3", "made")]
+    assert rows(ex("SELECT id FROM batches ORDER BY taste <=> [0, 1] LIMIT 5")) == [("b3",)]
+    assert [r.id for r in engine.query_vector("batches", "taste", [0.0, 1.0], 5).collect()] == ["b3"]
+    assert [r.id for r in engine.semantic_search("batches", "taste", [0.0, 1.0], 5).collect()] == ["b3"]
+
+
+def test_dropped_values_stay_gone(engine):
+    ex = engine.execute
+    ex("CREATE TABLE t (id INTEGER PRIMARY KEY, x INTEGER, y INTEGER)")
+    ex("INSERT INTO t VALUES (1, 7, 8)")
+    ex("ALTER TABLE t DROP COLUMN x")
+    ex("ALTER TABLE t ADD COLUMN x INTEGER")
+    assert rows(ex("SELECT id, x, y FROM t")) == [(1, None, 8)]
+    ex("ALTER TABLE t RENAME COLUMN y TO z")
+    ex("INSERT INTO t (id, x, z) VALUES (2, 5, 6)")
+    before = engine.current_lsn
+    ex("DELETE FROM t WHERE id = 1")
+    assert rows(ex("SELECT id, x, z FROM t")) == [(2, 5, 6)]
+    assert [(r.id, r.z, r.op) for r in engine.changes_since("t", before).collect()] == [(1, 8, "delete")]
+    engine.compact("t")
+    assert rows(ex("SELECT id, x, z FROM t")) == [(2, 5, 6)]
+
+
+def test_upsert_keeps_unique_keys(engine):
+    ex = engine.execute
+    ex("CREATE TABLE u (id INTEGER PRIMARY KEY, mail TEXT UNIQUE)")
+    ex("INSERT INTO u VALUES (1, 'a'), (2, 'b')")
+    with pytest.raises(E.UniqueViolation):
+        ex("INSERT INTO u VALUES (2, 'a') ON CONFLICT (id) DO UPDATE SET mail = EXCLUDED.mail")
+    assert rows(ex("SELECT id, mail FROM u ORDER BY id")) == [(1, "a"), (2, "b")]
+
+
+def test_codes_are_small(spark, engine):
+    """Vectors as codes take at most a third of their bytes as floats, and search finds the same neighbours."""
+    import os
+
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(1))
+    data = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=256)]) for i in range(600)], "id long, v array<float>").coalesce(1)
+    size, found = {}, {}
+    for kind in ("F32", "SQ8", "SQ4"):
+        engine.execute(f"CREATE TABLE v_{kind} (id INTEGER PRIMARY KEY, v VECTOR(256) WITH (quantization = '{kind}'))")
+        engine.insert_rows(f"v_{kind}", data)
+        parts = f"{engine.store.path}/parts/v_{kind}"
+        size[kind] = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(parts) for f in names if f.endswith(".parquet"))
+        found[kind] = {r.id for r in engine.execute(f"SELECT id FROM v_{kind} ORDER BY v <=> $q LIMIT 10", {"q": [1.0] + [0.5] * 255}).collect()}
+    assert 3 * size["SQ8"] <= size["F32"] and size["SQ4"] < size["SQ8"]
+    assert len(found["F32"] & found["SQ8"]) >= 9
+
+
+def test_push_and_pull(spark, engine, tmp_path):
+    from mnemo.session import Engine
+
+    class Hides(Plugin):
+        def on_sync_push(self, feed):
+            return feed.where("id <> 3")
+
+    engine.plugins.append(Hides())
+    ex = engine.execute
+    ex("CREATE TABLE a (id INTEGER PRIMARY KEY, v TEXT)")
+    ex("CREATE TABLE b (id INTEGER PRIMARY KEY)")
+    ex("INSERT INTO a VALUES (1, 'x'), (2, 'y'), (3, 'z')")
+    ex("INSERT INTO b VALUES (1)")
+    other = Engine(spark, str(tmp_path / "other"))
+    other.pull(engine, directions={"b": "Push"})
+    assert other.table_names() == ["a", "b"] and rows(other.execute("SELECT id, v FROM a ORDER BY id")) == [(1, "x"), (2, "y")]
+    assert rows(other.execute("SELECT COUNT(*) AS n FROM b")) == [(0,)]
+    mark = engine.current_lsn
+    ex("DELETE FROM a WHERE id = 1")
+    other.pull(engine, mark)
+    assert rows(other.execute("SELECT id FROM a")) == [(2,)]
+
+
+def test_visited_limit(spark, engine):
+    engine.attach("e", spark.range(50).selectExpr("'hub' as source_id", "concat('n', id) as target_id", "'T' as edge_type"))
+    with pytest.raises(E.BfsVisitedExceeded):
+        engine.bfs(["hub"], ["T"], most_visited=49)
+    assert engine.bfs(["hub"], ["T"], most_visited=50).count() == 50
+    with pytest.raises(E.ImmutableTable):
+        engine.execute("DELETE FROM e WHERE source_id = 'hub'")
 
 
 def test_propagation_abort(engine):
