@@ -107,6 +107,17 @@ def test_anchors_beyond_field(monkeypatch):
         assert (x, p) == (y, o)
 
 
+def test_anchors_of_a_very_long_text():
+    """A passage beyond 16 MiB of one text has the anchors that it has by itself."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    raw = rng.integers(97, 123, 17_600_000).astype(np.uint8).tobytes()
+    piece = raw[17_200_000:17_204_000]
+    _, there, first, *_ = suffix_dedup.anchors([raw])
+    _, alone, *_ = suffix_dedup.anchors([piece])
+    inside = there[(first >= 17_200_000) & (first < 17_203_600)]
+    assert len(inside) > 5 and set(inside.tolist()) <= set(alone.tolist())
+
+
 @pytest.mark.parametrize("most", [1500, 2])
 def test_suffix_dedup(spark, docs, most):
     rows = [(i, t) for i, t in texts(docs) if len(t) < 6000][:110]
@@ -211,6 +222,27 @@ def test_lm_pairs_are_exact(spark):
         assert abs(got[i].score - want) < 1e-6
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    """Over all words that can follow a context, the end and the unknown word among them, for seen and unseen contexts."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    texts = [[f"v{min(int(rng.zipf(1.5)), 40)}" for _ in range(rng.integers(0, 9))] for _ in range(200)]
+    pairs, before, words = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        w = ["", *t, ""]
+        pairs.update(zip(w, w[1:]))
+        before.update(w[:-1])
+        words.update(w[1:])
+    contexts = ["", *[c for c in sorted(before) if c][:12], "never seen"]
+    rows = [(c.encode(), x.encode(), pairs[c, x], 0, before[c], 0, words[x], 0) for c in contexts for x in [*words, "unknown word"]]
+    table = spark.createDataFrame(rows, "ctx binary, term binary, n2 long, d2 long, nc long, dc long, n1 long, d1 long")
+    two = np.minimum(np.linspace(0.0, 0.9, language_model.BUCKETS), 0.9999)
+    got = language_model.pair_scores(table, two, 0.95, 0.02, sum(words.values()), len(words)).collect()
+    sums = collections.Counter()
+    for (c, *_), r in zip(rows, got, strict=True):
+        sums[c] += 10**r.lp
+    assert len(sums) == len(contexts) and all(abs(x - 1) < 1e-9 for x in sums.values())
+
+
 def test_lm_empty(odd):
     assert language_model.lm_scores(odd.limit(0)).count() == 0
 
