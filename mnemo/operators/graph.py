@@ -1,7 +1,7 @@
 """Bounded traversal of an edge table (source_id, target_id, edge_type).
 
-A traversal advances all starts together, one join and one anti-join a level.  Lineage is cut in the shared folder every
-few levels, so plans stay small and a lost executor costs a few levels at most.
+A traversal advances all starts together, one join and one anti-join a level.  Each level is written to the shared folder,
+so plans stay small, nothing is computed twice and a lost executor costs one level at most.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from mnemo.errors import BfsDepthExceeded, BfsVisitedExceeded, ParseError, Unbou
 from mnemo.sources.shared import cut
 
 MOST_DEPTH = 10
-#: Levels between two cuts of lineage.
+#: Levels between two cuts of lineage, of paths and of cycle checks.
 CUT_EVERY = 3
 
 
@@ -53,29 +53,28 @@ def bfs(edges: DataFrame, starts: DataFrame, edge_types=None, direction: str = "
     """(start, node, depth): each node once per start, at its least depth, where that is within least..most.
 
     The start itself is never returned.  starts has a column start; repeated starts count once, NULL starts reach
-    nothing.  most_visited bounds the nodes of one start and costs an aggregate a level.
+    nothing.  most_visited bounds the nodes of one start; they are counted by start once all starts together reach more.
     """
     Step(least=least, most=most).checked()
     hops = adjacency(edges, edge_types, direction)
-    seen = starts.select("start").where("start is not null").distinct().withColumn("node", F.col("start")).withColumn("depth", F.lit(0))
-    frontier = seen
+    first = starts.select("start").where("start is not null").distinct()
     if most == 1:  # single hops need no set of visited nodes
-        step = seen.select("start").join(hops, F.col("start") == F.col("a")).where("b != start")
-        found = step.select("start", F.col("b").alias("node"), F.lit(1).alias("depth")).distinct()
+        found = first.join(hops, F.col("start") == F.col("a")).where("b != start").select("start", F.col("b").alias("node"), F.lit(1).alias("depth")).distinct()
         if most_visited is not None and found.groupBy("start").count().where(F.col("count") > most_visited).take(1):
             raise BfsVisitedExceeded(f"more than {most_visited} nodes")
         return found
+    # Each level is written, so that it is computed once and the next join knows its size: a small frontier is broadcast
+    # to the edges, which then are not shuffled.
+    seen = frontier = cut(first.withColumn("node", F.col("start")).withColumn("depth", F.lit(0)), "bfs")
+    total = 0
     for depth in range(1, most + 1):
         step = frontier.select("start", "node").join(hops, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-        frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        if depth % CUT_EVERY == 0 and depth < most:
-            frontier = cut(frontier, "bfs")
-            if not frontier.take(1):
-                break
-            seen = cut(seen.unionByName(frontier), "bfs-seen")
-        else:
-            seen = seen.unionByName(frontier)
-        if most_visited is not None and seen.groupBy("start").count().where(F.col("count") > most_visited + 1).take(1):
+        frontier = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "bfs")
+        new = frontier.count()
+        if not new:
+            break
+        seen, total = seen.unionByName(frontier), total + new
+        if most_visited is not None and total > most_visited and seen.groupBy("start").count().where(F.col("count") > most_visited + 1).take(1):
             raise BfsVisitedExceeded(f"more than {most_visited} nodes")
     return seen.where((F.col("depth") >= least) & (F.col("depth") <= most) & (F.col("depth") > 0))
 

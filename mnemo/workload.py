@@ -12,8 +12,9 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-#: The written edges, by Spark application and folder.
+#: Written edges and loaded engines that queries only read, by Spark application and folder.
 _GRAPHS: dict = {}
+_LOADED: dict = {}
 #: The first half of the events.
 _EARLY = "event_id * 2 < (select max(event_id) from events)"
 
@@ -52,14 +53,16 @@ def _two_commits(spark, d):
 
 
 def _vectors(spark, d, kind: str) -> Engine:
-    """A new engine with embeddings, and labels for its rank policy."""
-    db = Engine(spark)
-    db.execute("CREATE TABLE labels (doc_id INTEGER PRIMARY KEY, quality INTEGER, toxic INTEGER)")
-    db.execute(f"CREATE TABLE vectors (vec_id INTEGER PRIMARY KEY, embedding {kind})")
-    if "RANK_POLICY" in kind:
-        db.insert_rows("labels", table(spark, d, "labels"))
-    db.insert_rows("vectors", table(spark, d, "embeddings").orderBy("vec_id"))
-    return db
+    """An engine with embeddings, and labels for their rank policy, loaded once per application, folder and kind."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _LOADED:
+        db = _LOADED[key] = Engine(spark)
+        db.execute("CREATE TABLE labels (doc_id INTEGER PRIMARY KEY, quality INTEGER, toxic INTEGER)")
+        db.execute(f"CREATE TABLE vectors (vec_id INTEGER PRIMARY KEY, embedding {kind})")
+        if "RANK_POLICY" in kind:
+            db.insert_rows("labels", table(spark, d, "labels"))
+        db.insert_rows("vectors", table(spark, d, "embeddings").orderBy("vec_id"))
+    return _LOADED[key]
 
 
 def _policy(formula: str) -> str:
