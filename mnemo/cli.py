@@ -17,12 +17,13 @@ HELP = ".help  .tables  .schema [table]  .explain <select>  .quit"
 
 
 def grid(df: DataFrame, most: int = 1000) -> str:
-    """Rows as an ASCII grid, NULL spelled out; at most `most` rows are fetched."""
-    rows = [tuple("NULL" if v is None else str(v) for v in r) for r in df.limit(most).collect()]
+    """Rows as an ASCII grid, NULL spelled out; of more than `most` rows the first are shown, and it says so."""
+    rows = [tuple("NULL" if v is None else str(v) for v in r) for r in df.limit(most + 1).collect()]
+    cut, rows = len(rows) > most, rows[:most]
     widths = [max(len(c), *(len(r[i]) for r in rows)) if rows else len(c) for i, c in enumerate(df.columns)]
     line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
     show = lambda cells: "|" + "|".join(f" {c.ljust(w)} " for c, w in zip(cells, widths, strict=True)) + "|"
-    return "\n".join([line, show(df.columns), line, *map(show, rows), *([line] if rows else []), f"{len(rows)} row{'s' * (len(rows) != 1)}"])
+    return "\n".join([line, show(df.columns), line, *map(show, rows), *([line] if rows else []), f"first {most} rows, there are more" if cut else f"{len(rows)} row{'s' * (len(rows) != 1)}"])
 
 
 def answer(engine: Engine, text: str) -> str | None:
