@@ -32,3 +32,24 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).where("lossless").count() > 0
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empty, long and repeated texts, null ids and clashing columns go through all stages; so does no row at all."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).cache()
+        ids = collections.Counter(r.doc_id for r in out.select("doc_id").collect())
+        if name == "SentencePiece encoding and decoding":
+            assert all(r.lossless for r in out.collect())
+        else:
+            assert out.columns == odd.columns
+        if name == "exact dedup":  # of the three rows with one text, and of those without text, one stays
+            assert ids[1] == 0 and ids[2] == 1 and ids[3] + ids[4] == 1 and ids[None] == 1
+        if name == "n-gram Jaccard join":  # two long texts that differ in a word
+            assert ids[6] == 1 and ids[7] == 0 and ids[9] == 1
+        docs = out
+    docs = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
