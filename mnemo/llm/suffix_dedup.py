@@ -369,9 +369,10 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(cut)
     discard(folded)
 
-    known = copies.select("k1", "k2", "copies").join(partly, ["k1", "k2"], "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    out = found.select("doc_id", "k1", "k2", "n_bytes", "sha").join(known, ["k1", "k2"])
+    # Only texts that lose something are looked up; the table is written, so that Spark can split the copies of one text.
+    known = written(copies.where("copies > 1").select("k1", "k2", "copies").join(partly, ["k1", "k2"], "full"), "suffix-known")
+    whole = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_bytes") >= LENGTH)
+    out = found.select("doc_id", "k1", "k2", "n_bytes", "sha").join(known, ["k1", "k2"], "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
