@@ -8,14 +8,17 @@ A deleted part of the training texts stays out of the model's counts; on its cou
 weights, and the share of tokens that are new there is the probability of an unknown word.  Scores use the counts of all
 training texts.
 
-Counts are unbounded: the most frequent pairs are held in every task, all others meet the table of pairs in a join; see
-pieces.py.
+Counts are unbounded.  The most frequent words (a bounded head, see pieces.py) have numbers that every task knows; all
+others travel as bytes.  Pairs are dealt to owners, whose number follows the tokens: a pair of head words by its hash, any
+other by its first word outside the head, whose count the owner knows.  They move as sorted, compressed columns (`packed`).
+The most frequent pairs are scored where a text is read; every other pair of a run of texts meets its counts at its owner,
+which returns a sum for each text.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,13 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm.common import fold_of, table, written
-from mnemo.llm.pieces import HEAD_TERMS, head_of
+from mnemo.llm.pieces import HEAD_TERMS, head_condition
 
 #: Frequency buckets of a context: 0, then octaves.
 BUCKETS = 48
 #: One training text in so many is deleted from the counts and teaches the weights.
 DELETED = 100
 EM_STEPS = 15
+#: Tokens of a run of texts, after which a task hands its pairs on, and tokens an owner of pairs serves.
+RUN_TOKENS = 1 << 20
+OWNER_TOKENS = 1 << 20
+#: Tasks that owners are dealt to, at most, unless the session shuffles to more.
+MOST_TASKS = 4096
+#: Sums return from owners in units of 1e-9.
+UNIT = 1e9
+#: Frequencies that part the levels of frequent pairs, an eighth of an octave each.
+LEVELS = np.unique(np.ceil(2.0 ** (np.arange(8 * 48) / 8)).astype(np.int64))
+_LOW = np.uint64(0xFFFFFFFF)
+_HIGH = np.uint64(32)
+TRAINING, APART, HELD, WORDS = range(4)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -57,36 +72,195 @@ def _word_rows(seen: tuple[Counter, Counter], rows: int = 100_000):
         yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
 
 
-def _count_pairs(batches):
-    """Neighbouring words (ctx, term, n, d), an empty word before and after each text; pairs of held-out texts count 0."""
-    seen: tuple[Counter, ...] = (Counter(), Counter(), Counter())
-    for b in batches:
-        for t, held, apart in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            words = words_of(t)
-            seen[2 if held else apart].update(zip([b"", *words], [*words, b""], strict=True))
-            if sum(map(len, seen)) > 250_000:
-                yield from _pair_rows(seen)
-                seen = (Counter(), Counter(), Counter())
-    yield from _pair_rows(seen)
-
-
-def _pair_rows(seen: tuple[Counter, ...], rows: int = 100_000):
-    for counts, in_n, in_d in zip(seen, (1, 1, 0), (0, 1, 0), strict=True):
-        n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-        ctx, term = zip(*counts, strict=True) if counts else ((), ())
-        whole = pa.record_batch([pa.array(ctx, pa.binary()), pa.array(term, pa.binary()), pa.array(n * in_n), pa.array(n * in_d)], names=["ctx", "term", "n", "d"])
-        yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
+def packed(words: list[bytes], *columns: np.ndarray) -> bytes:
+    """Words and equally long columns of 64-bit values; the first column as differences, all by byte planes, compressed."""
+    text = b" ".join(words)
+    columns = [np.ascontiguousarray(c).view(np.uint64) for c in columns]
+    columns[0] = np.diff(columns[0], prepend=np.uint64(0))
+    planes = [c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    sizes = np.array([len(text), len(words), len(columns), len(columns[0])], dtype=np.int64).tobytes()
+    whole = b"".join([sizes, text, *planes])
+    return len(whole).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(whole, asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+    whole = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    size, n_words, n_columns, rows = np.frombuffer(whole, dtype=np.int64, count=4).tolist()
+    words = whole[32 : 32 + size].split(b" ") if n_words else []
+    planes = np.frombuffer(whole, dtype=np.uint8, offset=32 + size).reshape(n_columns, 8, rows)
+    columns = [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
+    columns[0] = np.cumsum(columns[0], dtype=np.uint64)
+    return words, columns
+
+
+class Numbers:
+    """Numbers of words in a run: 0 stands before and after each text, head words have theirs everywhere, others follow."""
+
+    def __init__(self, head: dict[bytes, int]):
+        self.head, self.size, self.own = head, len(head), {}
+
+    def pairs(self, words: list[bytes]) -> np.ndarray:
+        found = list(map(self.head.get, words))
+        if None in found:
+            own, first = self.own, self.size + 1
+            found = [own.setdefault(w, first + len(own)) if x is None else x for w, x in zip(words, found, strict=True)]
+        at = np.zeros(len(found) + 2, dtype=np.uint64)
+        at[1:-1] = found
+        return at[:-1] << _HIGH | at[1:]
+
+    def dealt(self, keys: np.ndarray, columns: list[np.ndarray], owners: int):
+        """(owner, packed words, first, second, columns) of sorted pairs; the words of a pack are numbered there."""
+        first, second, size = keys >> _HIGH, keys & _LOW, np.uint64(self.size)
+        own = list(self.own)
+        of = np.array([0, *map(zlib.crc32, own)], dtype=np.uint64)
+        place = lambda x: np.where(x > size, x - size, np.uint64(0)).astype(np.int64)
+        mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> _HIGH
+        owner = np.where(first > size, of[place(first)], np.where(second > size, of[place(second)], mixed)) % np.uint64(owners)
+        order = np.argsort(owner, kind="stable")
+        cuts = np.flatnonzero(np.diff(owner[order])) + 1
+        for x in np.split(order, cuts) if len(order) else ():
+            a, b = first[x], second[x]
+            used = np.unique(np.concatenate([a[a > size], b[b > size]]))
+            near = lambda c: np.where(c > size, size + np.uint64(1) + np.searchsorted(used, c).astype(np.uint64), c)  # noqa: B023, E731
+            yield int(owner[x[0]]), packed([own[i] for i in (used - size - np.uint64(1)).tolist()], near(a), near(b), *(c[x] for c in columns))
+
+
+def _count_pairs(shared, owners: int):
+    """(owner, kind, blob): pairs of runs of texts with their counts, apart for training, deleted and held-out texts."""
+    most = RUN_TOKENS
+
+    def run(batches):
+        numbers, seen, size = Numbers(shared.value[0]), ([], [], []), 0
+        for b in batches:
+            for t, held, apart in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                pairs = numbers.pairs(words_of(t))
+                seen[HELD if held else APART if apart else TRAINING].append(pairs)
+                size += len(pairs)
+                if size > most:
+                    yield from _pair_rows(numbers, seen, owners)
+                    numbers, seen, size = Numbers(numbers.head), ([], [], []), 0
+        yield from _pair_rows(numbers, seen, owners)
+
+    return run
+
+
+def _pair_rows(numbers: Numbers, seen: tuple[list, ...], owners: int):
+    for kind, runs in enumerate(seen):
+        if runs:
+            keys, times = np.unique(np.concatenate(runs), return_counts=True)
+            for owner, blob in numbers.dealt(keys, [times], owners):
+                yield pa.record_batch([pa.array([owner], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], names=["owner", "kind", "blob"])
+
+
+def _deal_words(owners: int):
+    """(owner, kind, blob) of words outside the head with their counts."""
+
+    def run(batches):
+        for b in batches:
+            words = b.column(0).to_pylist()
+            counts = [b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]
+            owner = np.array([zlib.crc32(w) for w in words], dtype=np.int64) % owners
+            order = np.argsort(owner, kind="stable")
+            for x in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1) if len(order) else ():
+                blob = packed([words[i] for i in x.tolist()], *(c[x] for c in counts))
+                yield pa.record_batch([pa.array([owner[x[0]]], pa.int32()), pa.array([WORDS], pa.int32()), pa.array([blob], pa.binary())], names=["owner", "kind", "blob"])
+
+    return run
+
+
+_COUNTED = pa.schema([("owner", pa.int32()), ("pairs", pa.binary()), ("words", pa.binary()), ("asks", pa.list_(pa.binary())), ("levels", pa.list_(pa.int64()))])
+
+
+def _add_up(shared, owners: int):
+    """An owner's pairs with their counts, the counts of its words, and the words that other owners know."""
+
+    def run(key, group):
+        owner, size = key[0].as_py(), len(shared.value[0])
+        own, known, keys, n, d = {}, {}, [], [], []
+        for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            words, (first, second, *rest) = unpacked(blob)
+            if kind == WORDS:
+                known.update(zip(words, zip(first.tolist(), second.tolist(), strict=True), strict=True))
+                continue
+            keys.append(_renumbered(words, first, second, own, size))
+            n.append(rest[0] if kind != HELD else np.zeros_like(rest[0]))
+            d.append(rest[0] if kind == APART else np.zeros_like(rest[0]))
+        if not keys:
+            return _COUNTED.empty_table()
+        pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n2, d2 = (np.bincount(at, np.concatenate(x), len(pairs)).astype(np.int64) for x in (n, d))
+        words = list(own)
+        asked = np.array([zlib.crc32(w) % owners != owner for w in words], dtype=np.int64)
+        counts = np.array([known.get(w, (0, 0)) for w in words], dtype=np.int64).reshape(-1, 2)
+        frequent = n2[((pairs >> _HIGH) <= size) & ((pairs & _LOW) <= size) & (n2 > 0)]
+        levels = np.bincount(np.searchsorted(LEVELS, frequent, "right") - 1, minlength=1)
+        asks = [w for w, x in zip(words, asked.tolist(), strict=True) if x]
+        row = {"owner": [owner], "pairs": [packed(words, pairs >> _HIGH, pairs & _LOW, n2, d2)], "words": [packed([], asked, counts[:, 0], counts[:, 1])], "asks": [asks], "levels": [levels.tolist()]}
+        return pa.table(row, schema=_COUNTED)
+
+    return run
+
+
+def _renumbered(words: list[bytes], first: np.ndarray, second: np.ndarray, own: dict[bytes, int], size: int) -> np.ndarray:
+    """Pairs of a pack by the owner's numbers of words, which grow by those that are new."""
+    of = np.array([0, *(own.setdefault(w, size + 1 + len(own)) for w in words)], dtype=np.uint64)
+    size = np.uint64(size)
+    near = lambda c: np.where(c > size, of[np.where(c > size, c - size, np.uint64(0)).astype(np.int64)], c)
+    return near(first) << _HIGH | near(second)
+
 
+class Pairs:
+    """The pairs of an owner, unpacked: keys in order, n2, d2, and counts of both words; -1 where another owner knows."""
 
-def counted_pairs(texts: DataFrame, terms: DataFrame, ends: int, ends_apart: int) -> DataFrame:
-    """A row for every pair of any text: (ctx, term, n2, d2, nc, dc, n1, d1), training counts of the pair, of its context
-    and of its word, each in all training texts and in their deleted part."""
-    pairs = texts.select("t", "held_out", "apart").mapInArrow(_count_pairs, "ctx binary, term binary, n long, d long")
-    pairs = pairs.groupBy("ctx", "term").agg(F.sum("n").alias("n2"), F.sum("d").alias("d2"))
-    of = lambda key, n, d: terms.select(F.col("term").alias(key), F.col("n").alias(n), F.col("d").alias(d))
-    met = pairs.join(of("k1", "nc", "dc"), F.col("ctx") == F.col("k1"), "left").join(of("k2", "n1", "d1"), F.col("term") == F.col("k2"), "left")
-    count = lambda word, c, at_end: F.when(F.octet_length(word) == 0, F.lit(at_end)).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(c)
-    return met.select("ctx", "term", "n2", "d2", count("ctx", "nc", ends), count("ctx", "dc", ends_apart), count("term", "n1", ends), count("term", "d1", ends_apart))
+    def __init__(self, pairs: bytes, words: bytes, head: tuple, answers: dict[bytes, tuple[int, int]]):
+        self.words, (first, second, n2, d2) = unpacked(pairs)
+        asked, n, d = (x.view(np.int64) for x in unpacked(words)[1])
+        if len(asked) and asked.any():
+            far = np.flatnonzero(asked)
+            told = np.array([answers.get(self.words[i], (-1, -1)) for i in far.tolist()], dtype=np.int64)
+            n, d = n.copy(), d.copy()
+            n[far], d[far] = told[:, 0], told[:, 1]
+        self.size, self.keys = len(head[0]), first << _HIGH | second
+        all_n, all_d = np.concatenate([head[1], n]), np.concatenate([head[2], d])
+        first, second = first.astype(np.int64), second.astype(np.int64)
+        self.first, self.second, self.n2, self.d2 = first, second, n2.view(np.int64), d2.view(np.int64)
+        self.nc, self.dc, self.n1, self.d1 = all_n[first], all_d[first], all_n[second], all_d[second]
+
+
+def _pair_table(shared):
+    """Rows (ctx, term, n2, d2, nc, dc, n1, d1) of owners' pairs; n1 and d1 are -1 where another owner knows them."""
+
+    def run(batches):
+        names = [b"", *shared.value[0]]
+        for b in batches:
+            for blob, counts, least, deleted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                p = Pairs(blob, counts, shared.value, {})
+                text = names + p.words
+                wanted = np.flatnonzero((p.d2 >= deleted) & ((p.n2 >= least) & (p.first <= p.size) & (p.second <= p.size) if least else True))
+                for lo in range(0, len(wanted), 100_000):
+                    x = wanted[lo : lo + 100_000]
+                    words = [pa.array([text[i] for i in c[x].tolist()], pa.binary()) for c in (p.first, p.second)]
+                    yield pa.record_batch(words + [pa.array(c[x]) for c in (p.n2, p.d2, p.nc, p.dc, p.n1, p.d1)], names=["ctx", "term", "n2", "d2", "nc", "dc", "n1", "d1"])
+
+    return run
+
+
+def counted_pairs(texts: DataFrame, terms: DataFrame, shared, owners: int, tasks: int) -> DataFrame:
+    """A row an owner: owner, pairs, words, asks (words of other owners), levels (frequencies of pairs of head words)."""
+    runs = texts.select("t", "held_out", "apart").mapInArrow(_count_pairs(shared, owners), "owner int, kind int, blob binary")
+    words = terms.select("term", "n", "d").mapInArrow(_deal_words(owners), "owner int, kind int, blob binary")
+    dealt = runs.unionByName(words).repartition(tasks, "owner").groupBy("owner")
+    return dealt.applyInArrow(_add_up(shared, owners), "owner int, pairs binary, words binary, asks array<binary>, levels array<long>")
+
+
+def pair_rows(counted: DataFrame, terms: DataFrame, shared, least: int = 0, deleted: int = 0) -> DataFrame:
+    """A row for every pair (ctx, term, n2, d2, nc, dc, n1, d1): training counts of the pair, of its context and of its
+    word, each in all training texts and in their deleted part.  With `least`, only pairs of head words that occur so often
+    in training; with `deleted`, only those that occur so often in the deleted part."""
+    asked = counted.select("pairs", "words", F.lit(least), F.lit(deleted))
+    rows = asked.mapInArrow(_pair_table(shared), "ctx binary, term binary, n2 long, d2 long, nc long, dc long, n1 long, d1 long")
+    far = rows.where("n1 < 0").drop("n1", "d1").join(terms.select("term", F.col("n").alias("n1"), F.col("d").alias("d1")), "term", "left")
+    return rows.where("n1 >= 0").unionByName(far.na.fill(0, ["n1", "d1"]))
 
 
 def _bucket(c):
@@ -119,43 +293,146 @@ def learn_weights(pairs: DataFrame, n: int, v: int) -> tuple[np.ndarray, float,
     return np.minimum(two, 0.9999), one, unknown
 
 
+def log_probability(n2, nc, n1, two: np.ndarray, one: float, unknown: float, n: int, v: int) -> np.ndarray:
+    """log10 of the probability of a word after its context, by training counts of the pair, the context and the word."""
+    weight = two[np.frexp(nc.astype(np.float64))[1]]
+    mixed = weight * n2 / np.maximum(nc, 1) + (1 - weight) * (one * n1 / max(n, 1) + (1 - one) / max(v, 1))
+    return np.log10(np.where(n1 > 0, (1 - unknown) * mixed, unknown))
+
+
 def pair_scores(pairs: DataFrame, two: np.ndarray, one: float, unknown: float, n: int, v: int) -> DataFrame:
     """(term, n, base, lp, new) by pair: both words with a space between, training count, logs of its word's count + 1 and
     of its probability, and whether its word is unknown."""
-    c, weight = F.col("n1"), F.element_at(F.lit(two.tolist()), _bucket(F.col("nc")) + 1)
-    p2 = F.when(F.col("nc") > 0, F.col("n2") / F.col("nc")).otherwise(F.lit(0.0))
-    p = F.when(c > 0, (1 - unknown) * (weight * p2 + (1 - weight) * (one * c / float(max(n, 1)) + (1 - one) / float(max(v, 1))))).otherwise(F.lit(unknown))
-    return pairs.select(F.concat("ctx", F.lit(b" "), "term").alias("term"), F.col("n2").alias("n"), F.log10(c + 1).alias("base"), F.log10(p).alias("lp"), (c == 0).cast("long").alias("new"))
+
+    def run(batches):
+        for b in batches:
+            n2, nc, n1 = (b.column(i).to_numpy() for i in (1, 2, 3))
+            lp = log_probability(n2, nc, n1, two, one, unknown, n, v)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.log10(n1 + 1.0)), pa.array(lp), pa.array((n1 == 0).astype(np.int64))], names=["term", "n", "base", "lp", "new"])
+
+    both = pairs.select(F.concat("ctx", F.lit(b" "), "term").alias("term"), "n2", "nc", "n1")
+    return both.mapInArrow(run, "term binary, n long, base double, lp double, new long")
 
 
-def _score(shared):
-    """Sums over the head's pairs, and the pairs of the tail."""
+def _score(shared, frequent, owners: int):
+    """(owner, run, home, blob): what is known of each text of a run, at any owner, and its other pairs, at theirs."""
+    most = RUN_TOKENS
 
     def run(batches):
         from pyspark import TaskContext
 
-        head, base, lp = shared.value
-        part, number = TaskContext.get().partitionId() << 40, itertools.count()
+        head, n, _ = shared.value
+        base, new = np.log10(n + 1.0), n == 0
+        number = TaskContext.get().partitionId() << 32
+        numbers, docs, size = Numbers(head), [], 0
         for b in batches:
-            ids, sums, words, tails, scores = [], [], [], [], []
-            for t in b.column(2).to_pylist():
-                terms = words_of(t)
-                keys = [x + b" " + y for x, y in zip([b"", *terms], [*terms, b""], strict=True)]
-                at = np.array([head.get(k, -1) for k in keys], dtype=np.int64)
-                own = at[at >= 0]
-                sums.append(float(base[own].sum()))
-                scores.append(float(lp[own].sum()))
-                tails.append([keys[i] for i in np.flatnonzero(at < 0)])
-                words.append(len(terms))
-                ids.append(part + next(number))
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.binary()))],
-                names=["rid", "doc_id", "held_out", "words", "head_sum", "head_score", "tail"],
-            )
+            for doc, held, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                pairs = numbers.pairs(words_of(t))
+                docs.append((doc, held, pairs))
+                size += len(pairs)
+                if size > most:
+                    yield from _run_rows(number, numbers, docs, base, new, frequent.value, owners)
+                    number, numbers, docs, size = number + 1, Numbers(head), [], 0
+        if docs:
+            yield from _run_rows(number, numbers, docs, base, new, frequent.value, owners)
 
     return run
 
 
+def _run_rows(number: int, numbers: Numbers, docs: list, base, new, frequent: tuple, owners: int):
+    size, (best, lp) = numbers.size, frequent
+    tokens = np.array([len(p) for _, _, p in docs], dtype=np.int64)
+    of = np.repeat(np.arange(len(docs)), tokens)
+    keys = np.concatenate([p for _, _, p in docs])
+    term = (keys & _LOW).astype(np.int64)
+    near = term <= size
+    total = lambda at, x: np.bincount(of[at], x, len(docs))
+    base_sum, unknown = total(near, base[term[near]]), total(near, new[term[near]])
+    at = np.minimum(np.searchsorted(best, keys), max(len(best) - 1, 0))
+    found = best[at] == keys if len(best) else np.zeros(len(keys), dtype=bool)
+    score = total(found, lp[at[found]])
+    ids = np.array([0 if i is None else i for i, _, _ in docs], dtype=np.int64)
+    home = packed([], ids, np.array([i is None for i, _, _ in docs], dtype=np.int64), np.array([h for _, h, _ in docs], dtype=np.int64), tokens, unknown.astype(np.int64), base_sum, score)
+    rows = [((number ^ number >> 32) % owners, True, home)]
+    left, of = keys[~found], of[~found]
+    order = np.lexsort([of, left])
+    left, of = left[order], of[order]
+    first = np.flatnonzero(np.diff(left, prepend=~left[:1]) | (np.diff(of, prepend=-1) != 0).astype(np.uint64)) if len(left) else np.zeros(0, dtype=np.int64)
+    times = np.diff(first, append=len(left))
+    rows += [(owner, False, blob) for owner, blob in numbers.dealt(left[first], [of[first], times], owners)]
+    for i in range(0, len(rows), 1000):
+        owner, at_home, blobs = zip(*rows[i : i + 1000], strict=True)
+        yield pa.record_batch([pa.array(owner, pa.int32()), pa.array([number] * len(owner), pa.int64()), pa.array(at_home), pa.array(blobs, pa.binary())], names=["owner", "run", "home", "blob"])
+
+
+_RETURNED = pa.schema([("run", pa.int64()), ("home", pa.bool_()), ("blob", pa.binary())])
+
+
+def _look_up(shared, weights: tuple):
+    """Sums of an owner's pairs for the texts of each run; a run's home rows pass."""
+
+    def run(counted, runs):
+        table_of, rows = None, {"run": [], "home": [], "blob": []}
+        counted = counted.to_pylist()
+        answers = {r["term"]: (r["n"], r["d"]) for r in counted if r["pairs"] is None}
+        for r in counted:
+            if r["pairs"] is not None:
+                table_of = Pairs(r["pairs"], r["words"], shared.value, answers)
+                n1 = np.maximum(table_of.n1, 0)  # words that no owner knows are new
+                lp, base, new = log_probability(table_of.n2, table_of.nc, n1, *weights), np.log10(n1 + 1.0), n1 == 0
+                own = {w: table_of.size + 1 + i for i, w in enumerate(table_of.words)}
+        for number, home, blob in zip(*(runs.column(c).to_pylist() for c in ("run", "home", "blob")), strict=True):
+            if not home:
+                words, (first, second, of, times) = unpacked(blob)
+                keys = _renumbered(words, first, second, own, table_of.size)
+                at = np.searchsorted(table_of.keys, keys)
+                docs, place = np.unique(of, return_inverse=True)
+                far = np.where(second > table_of.size, times, np.uint64(0)).astype(np.float64)  # head words were summed at home
+                sums = (np.bincount(place, x, len(docs)) for x in (times * -lp[at] * UNIT, far * base[at] * UNIT, far * new[at]))
+                blob = packed([], docs, *(np.rint(x).astype(np.int64) for x in sums))
+            rows["run"].append(number)
+            rows["home"].append(home)
+            rows["blob"].append(blob)
+        return pa.table(rows, schema=_RETURNED)
+
+    return run
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
+
+
+def _gather(group):
+    """The texts of a run with all their sums."""
+    homes, sums = [], []
+    for home, blob in zip(group.column("home").to_pylist(), group.column("blob").to_pylist(), strict=True):
+        (homes if home else sums).append([c.view(np.int64) for c in unpacked(blob)[1]])
+    (ids, none, held, tokens, unknown, base, score), = homes
+    parts = [np.zeros(len(ids), dtype=np.int64) for _ in range(3)]
+    for docs, *back in sums:
+        for total, x in zip(parts, back, strict=True):
+            total[docs] += x
+    return pa.table({
+        "doc_id": pa.array(ids, mask=none.astype(bool)),
+        "held_out": held.astype(bool),
+        "n_tokens": tokens,
+        "n_known": tokens - unknown - parts[2],
+        "base_sum": base.view(np.float64) + parts[1] / UNIT,
+        "score": score.view(np.float64) - parts[0] / UNIT,
+    })
+
+
+def frequent_from(counted: DataFrame, most: int) -> int:
+    """The least frequency from which on at most `most` pairs of head words are left."""
+    rows = counted.select(F.posexplode("levels").alias("level", "c")).groupBy("level").agg(F.sum("c").alias("c")).collect()  # a row per level
+    least = 1 << 62
+    for r in sorted(rows, key=lambda r: -r.level):
+        most -= r.c
+        if most < 0:
+            break
+        least = int(LEVELS[r.level])
+    return least
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held: int = 2, head_terms: int = HEAD_TERMS, deleted: int = DELETED) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -172,25 +449,38 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     terms = written(counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "lm-words")
     total = terms.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("v")).first()
     end = training.agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("apart").cast("long")).alias("apart")).first()
-    n, v = (total.n or 0) + end["all"], total.v + (end["all"] > 0)
-    left = n - (total.d or 0) - (end.apart or 0)
-    pairs = written(counted_pairs(texts, terms, end["all"], end.apart or 0), "lm-pairs")
-    two, one, unknown = learn_weights(pairs, left, v)
+    ends, ends_apart = end["all"], end.apart or 0
+    n, v = (total.n or 0) + ends, total.v + (ends > 0)
+    left = n - (total.d or 0) - ends_apart
+    owners = 1 + n // OWNER_TOKENS
+    tasks = min(owners, max(MOST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    in_head = head_condition(terms, head_terms)
+    best = terms.where(in_head).sort(F.desc("n"), "term").toArrow()  # head_terms rows and LONG_TERMS long ones at most
+    numbers = {w: i + 1 for i, w in enumerate(best.column(0).to_pylist())}
+    shared = share((numbers, np.array([ends, *best.column(1).to_pylist()]), np.array([ends_apart, *best.column(2).to_pylist()])))
+    others = terms.where(~in_head)
+    counted = written(counted_pairs(texts, others, shared, owners, tasks), "lm-pairs")
+    two, one, unknown = learn_weights(pair_rows(counted, others, shared, deleted=1), left, v)
     if not n:
         unknown = 1.0
-    scored = pair_scores(pairs, two, one, unknown, n, v)
-    head = head_of(scored.where("n > 0"), head_terms).select("term", "base", "lp").toArrow()  # head_terms rows at most
-    at = {k: i for i, k in enumerate(head.column(0).to_pylist())}
-    fixed = share((at, head.column(1).to_numpy(), head.column(2).to_numpy()))
-    rows = written(texts.select("doc_id", "held_out", "t").mapInArrow(_score(fixed), "rid long, doc_id long, held_out boolean, words long, head_sum double, head_score double, tail array<binary>"), "lm-scores")
-    fixed.destroy()  # reused workers would keep the head
-    met = rows.select("rid", F.explode("tail").alias("term")).join(scored.drop("n"), "term", "left")  # every pair has its row
-    tail = met.groupBy("rid").agg(F.sum("base").alias("tail_sum"), F.sum("lp").alias("tail_score"), F.sum("new").alias("new"))
-    tokens = F.col("words") + 1
-    base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - tokens * math.log10(n + v + 1)
-    known = tokens - F.coalesce("new", F.lit(0))
-    score = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
-    return rows.drop("tail").join(tail, "rid", "left").select("doc_id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    weights = (two, one, unknown, n, v)
+    scored = pair_scores(pair_rows(counted, others, shared, least=frequent_from(counted, head_terms)), *weights)
+    frequent = scored.select("term", "lp").toArrow()  # head_terms rows at most
+    at = {b"": 0, **numbers}
+    keys = np.array([at[a] << 32 | at[b] for a, b in (x.split(b" ") for x in frequent.column(0).to_pylist())], dtype=np.uint64)
+    order = np.argsort(keys)
+    fixed = share((keys[order], frequent.column(1).to_numpy()[order]))
+
+    asked = counted.select("owner", F.explode("asks").alias("term")).join(others, "term")
+    known = counted.select("owner", "pairs", "words").unionByName(asked, allowMissingColumns=True).repartition(tasks, "owner").groupBy("owner")
+    runs = texts.select("doc_id", "held_out", "t").mapInArrow(_score(shared, fixed, owners), "owner int, run long, home boolean, blob binary").repartition(tasks, "owner").groupBy("owner")
+    sums = known.cogroup(runs).applyInArrow(_look_up(shared, weights), "run long, home boolean, blob binary")
+    found = written(sums.groupBy("run").applyInArrow(_gather, _SCORED), "lm-scores")
+    fixed.destroy()  # executors would keep the heads
+    shared.unpersist()
+    base = F.col("base_sum") - F.col("n_tokens") * math.log10(n + v + 1)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Counting over a vocabulary too large to broadcast: a bounded head in every task, the tail through a join.
 
 Terms are counted over all documents.  Those above a frequency that at most HEAD_TERMS terms reach (and of at most
-HEAD_BYTES bytes) form the head, which tasks hold as a dict; its size is bounded by the two parameters whatever the
-input.  Occurrences of all other terms leave a task as rows and meet the full table of terms in a shuffled join, so
+HEAD_BYTES bytes) form the head, with a smaller number of longer ones; tasks hold it as a dict, whose size is bounded by
+these parameters whatever the input.  Occurrences of all other terms leave a task and meet the counts in a shuffle, so
 every term is served and none is dropped.
 """
 
@@ -15,20 +15,33 @@ from pyspark.sql import functions as F
 HEAD_TERMS = 300_000
 #: ... of so many bytes each at most.
 HEAD_BYTES = 40
+#: Of longer terms, up to so many bytes, the head holds so many (8 MB).
+LONG_TERMS, LONG_BYTES = 2_000, 4096
 
 
-def head_of(terms: DataFrame, most: int = HEAD_TERMS) -> DataFrame:
-    """The most frequent rows of terms (term, n, ...), cut at a frequency so that at most `most` remain; short terms only."""
-    short = terms.where(F.octet_length("term") <= HEAD_BYTES)
+def head_condition(terms: DataFrame, most: int = HEAD_TERMS, most_long: int = LONG_TERMS):
+    """Of terms (term, n, ...), whether a row is in the head: frequencies that at most `most` short and `most_long` long
+    terms reach."""
+    size = F.octet_length("term")
     level = F.floor(F.log2("n") * 8)  # an eighth of an octave: a few hundred levels at most
-    levels = sorted(short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r.level)
-    room, least = most, None
-    for r in levels:
-        room -= r.c
-        if room < 0:
-            break
-        least = r.level
-    return short.where(F.lit(False)) if least is None else short.where(level >= least)
+    held = terms.where(size <= LONG_BYTES).groupBy((size > HEAD_BYTES).alias("long"), level.alias("level"))
+    rows = sorted(held.agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r.level)
+    chosen = F.lit(False)
+    for long, room in ((False, most), (True, most_long)):
+        least = None
+        for r in (r for r in rows if r.long == long):
+            room -= r.c
+            if room < 0:
+                break
+            least = r.level
+        if least is not None:
+            chosen = chosen | ((size > HEAD_BYTES) & (size <= LONG_BYTES) if long else size <= HEAD_BYTES) & (level >= least)
+    return chosen
+
+
+def head_of(terms: DataFrame, most: int = HEAD_TERMS) -> DataFrame:
+    """The rows of terms (term, n, ...) that are in the head."""
+    return terms.where(head_condition(terms, most))
 
 
 def to_map(head: DataFrame, value: str) -> dict[str, int]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemo.llm import exact_dedup, html_text, language_model, mixing, near_join, quality, sampled_pieces, suffix_dedup, token_counts, toxicity
+from mnemo.llm import exact_dedup, html_text, language_model, mixing, near_join, pieces, quality, sampled_pieces, suffix_dedup, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -243,6 +243,55 @@ def test_lm_probabilities_sum_to_one(spark):
     assert len(sums) == len(contexts) and all(abs(x - 1) < 1e-9 for x in sums.values())
 
 
+@pytest.mark.parametrize("limits", [{}, {"RUN_TOKENS": 300, "OWNER_TOKENS": 500}])
+@pytest.mark.parametrize("head_terms", [30, 100_000])
+def test_lm_scores_by_brute_force(spark, monkeypatch, limits, head_terms):
+    """Frequent words and rare, in and outside the head, over one owner and many, runs of few texts and of all."""
+    for name, value in limits.items():
+        monkeypatch.setattr(language_model, name, value)
+    rng = np.random.Generator(np.random.PCG64(9))
+    rows = [(i, " ".join(f"w{int(rng.zipf(1.4)) % 4000}" + "é" * 30 * int(x == 3) for x in rng.integers(0, 9, rng.integers(0, 40)))) for i in range(400)]
+    rows += [(None, "w1 w2"), (None, ""), (7, "only here"), (7, "w" * 5000 + " w1")] + [(1000 + i, "long" * 20 + " w1 " + "long" * 20) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    real, seen = language_model.learn_weights, {}
+    monkeypatch.setattr(language_model, "learn_weights", lambda pairs, *a: seen.update(w=real(pairs, *a), deleted={(r.ctx, r.term): tuple(r) for r in pairs.collect()}) or seen["w"])
+    got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.score, 5)) for r in language_model.lm_scores(df, head_terms=head_terms, deleted=5).collect())
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
+    apart = {r.doc_id for r in df.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(5)) == 0).collect()}
+    n2, d2, nc, dc, n1, d1 = (collections.Counter() for _ in range(6))
+    for i, t in rows:
+        w = ["", *t.split(), ""]
+        for c2, cc, c1 in [(n2, nc, n1)] * (not held[i]) + [(d2, dc, d1)] * (not held[i] and i in apart):
+            c2.update(zip(w, w[1:]))
+            cc.update(w[:-1])
+            c1.update(w[1:])
+    assert {(bytes(a).decode(), bytes(b).decode(), *r) for a, b, *r in seen["deleted"].values()} == {(a, b, n2[a, b], d2[a, b], nc[a], dc[a], n1[b], d1[b]) for a, b in d2}
+    (two, one, unknown), n, v = seen["w"], sum(n1.values()), len(n1)
+    want = collections.Counter()
+    for i, t in rows:
+        w, score = ["", *t.split(), ""], 0.0
+        for a, b in zip(w, w[1:]):
+            x = two[nc[a].bit_length()]
+            score += math.log10((1 - unknown) * (x * n2[a, b] / max(nc[a], 1) + (1 - x) * (one * n1[b] / n + (1 - one) / v)) if n1[b] else unknown)
+        want[(i, held[i], len(w) - 1, sum(n1[b] > 0 for b in w[1:]), round(score, 5))] += 1
+    assert got == want
+
+
+def test_lm_packs():
+    words, columns = [b"a", "é".encode()], [np.array([1, 5, 5, 2**40]), np.array([0, -1, 7, 3]), np.array([0, 1, 2, 2**62])]
+    back, same = language_model.unpacked(language_model.packed(words, *columns))
+    assert back == words and all((x.view(np.int64) == y).all() for x, y in zip(same, columns, strict=True))
+    back, same = language_model.unpacked(language_model.packed([], np.zeros(0, dtype=np.int64)))
+    assert back == [] and len(same[0]) == 0
+
+
+def test_head_holds_long_terms(spark):
+    rows = [(b"x" * 100, 900), (b"y" * 100, 5), (b"z" * 5000, 900), (b"s", 700), (b"t", 3)]
+    terms = spark.createDataFrame(rows, "term binary, n long")
+    got = terms.where(pieces.head_condition(terms, 1, 1)).collect()
+    assert {bytes(r.term) for r in got} == {b"x" * 100, b"s"}
+
+
 def test_lm_empty(odd):
     assert language_model.lm_scores(odd.limit(0)).count() == 0
 
