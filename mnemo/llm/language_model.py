@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ def packed(words: list[bytes], *columns: np.ndarray) -> bytes:
     planes = [c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
     sizes = np.array([len(text), len(words), len(columns), len(columns[0])], dtype=np.int64).tobytes()
     whole = b"".join([sizes, text, *planes])
-    return len(whole).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(whole, asbytes=True)
+    return len(whole).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(whole, asbytes=True)
 
 
 def unpacked(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
@@ -100,10 +101,10 @@ class Numbers:
         self.head, self.size, self.own = head, len(head), {}
 
     def pairs(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.head.get, words))
-        if None in found:
-            own, first = self.own, self.size + 1
-            found = [own.setdefault(w, first + len(own)) if x is None else x for w, x in zip(words, found, strict=True)]
+        found = np.fromiter(map(self.head.get, words, repeat(0)), dtype=np.uint64, count=len(words))
+        own, first = self.own, self.size + 1
+        for i in np.flatnonzero(found == 0).tolist():
+            found[i] = own.setdefault(words[i], first + len(own))
         at = np.zeros(len(found) + 2, dtype=np.uint64)
         at[1:-1] = found
         return at[:-1] << _HIGH | at[1:]
@@ -344,6 +345,8 @@ def _run_rows(number: int, numbers: Numbers, docs: list, base, new, frequent: tu
     tokens = np.array([len(p) for _, _, p in docs], dtype=np.int64)
     of = np.repeat(np.arange(len(docs)), tokens)
     keys = np.concatenate([p for _, _, p in docs])
+    order = np.argsort(keys, kind="stable")  # texts of a pair stay in order
+    keys, of = keys[order], of[order]
     term = (keys & _LOW).astype(np.int64)
     near = term <= size
     total = lambda at, x: np.bincount(of[at], x, len(docs))
@@ -355,8 +358,6 @@ def _run_rows(number: int, numbers: Numbers, docs: list, base, new, frequent: tu
     home = packed([], ids, np.array([i is None for i, _, _ in docs], dtype=np.int64), np.array([h for _, h, _ in docs], dtype=np.int64), tokens, unknown.astype(np.int64), base_sum, score)
     rows = [((number ^ number >> 32) % owners, True, home)]
     left, of = keys[~found], of[~found]
-    order = np.lexsort([of, left])
-    left, of = left[order], of[order]
     first = np.flatnonzero(np.diff(left, prepend=~left[:1]) | (np.diff(of, prepend=-1) != 0).astype(np.uint64)) if len(left) else np.zeros(0, dtype=np.int64)
     times = np.diff(first, append=len(left))
     rows += [(owner, False, blob) for owner, blob in numbers.dealt(left[first], [of[first], times], owners)]
