@@ -78,18 +78,25 @@ def packed(words: list[bytes], *columns: np.ndarray) -> bytes:
     text = b" ".join(words)
     columns = [np.ascontiguousarray(c).view(np.uint64) for c in columns]
     columns[0] = np.diff(columns[0], prepend=np.uint64(0))
-    planes = [c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
-    sizes = np.array([len(text), len(words), len(columns), len(columns[0])], dtype=np.int64).tobytes()
+    widths = [(int(c.max()).bit_length() + 7) // 8 if len(c) else 0 for c in columns]
+    planes = [c.view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for c, w in zip(columns, widths, strict=True)]
+    sizes = np.array([len(text), len(words), len(columns[0]), len(columns), *widths], dtype=np.int64).tobytes()
     whole = b"".join([sizes, text, *planes])
     return len(whole).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(whole, asbytes=True)
 
 
 def unpacked(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     whole = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    size, n_words, n_columns, rows = np.frombuffer(whole, dtype=np.int64, count=4).tolist()
-    words = whole[32 : 32 + size].split(b" ") if n_words else []
-    planes = np.frombuffer(whole, dtype=np.uint8, offset=32 + size).reshape(n_columns, 8, rows)
-    columns = [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
+    size, n_words, rows, n_columns = np.frombuffer(whole, dtype=np.int64, count=4).tolist()
+    widths = np.frombuffer(whole, dtype=np.int64, count=n_columns, offset=32).tolist()
+    at = 32 + 8 * n_columns
+    words = whole[at : at + size].split(b" ") if n_words else []
+    at, columns = at + size, []
+    for w in widths:
+        cells = np.zeros((rows, 8), dtype=np.uint8)
+        cells[:, :w] = np.frombuffer(whole, dtype=np.uint8, count=w * rows, offset=at).reshape(w, rows).T
+        columns.append(cells.view(np.uint64).ravel())
+        at += w * rows
     columns[0] = np.cumsum(columns[0], dtype=np.uint64)
     return words, columns
 
@@ -117,7 +124,7 @@ class Numbers:
         place = lambda x: np.where(x > size, x - size, np.uint64(0)).astype(np.int64)
         mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> _HIGH
         owner = np.where(first > size, of[place(first)], np.where(second > size, of[place(second)], mixed)) % np.uint64(owners)
-        order = np.argsort(owner, kind="stable")
+        order = np.argsort(owner.astype(np.uint16) if owners <= 1 << 16 else owner, kind="stable")  # 16 bits are sorted by radix
         cuts = np.flatnonzero(np.diff(owner[order])) + 1
         for x in np.split(order, cuts) if len(order) else ():
             a, b = first[x], second[x]
@@ -345,7 +352,7 @@ def _run_rows(number: int, numbers: Numbers, docs: list, base, new, frequent: tu
     tokens = np.array([len(p) for _, _, p in docs], dtype=np.int64)
     of = np.repeat(np.arange(len(docs)), tokens)
     keys = np.concatenate([p for _, _, p in docs])
-    order = np.argsort(keys, kind="stable")  # texts of a pair stay in order
+    order = np.argsort(keys)
     keys, of = keys[order], of[order]
     term = (keys & _LOW).astype(np.int64)
     near = term <= size
