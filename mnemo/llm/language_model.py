@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ EM_STEPS = 15
 #: Tokens of a run of texts, after which a task hands its pairs on, and tokens an owner of pairs serves.
 RUN_TOKENS = 1 << 20
 OWNER_TOKENS = 1 << 20
+#: Bytes of text that are split into words at once, and that are counted at once; a longer text is one piece.
+SPLIT_BYTES, COUNT_BYTES = 1 << 20, 1 << 22
 #: Tasks that owners are dealt to, at most, unless the session shuffles to more.
 MOST_TASKS = 4096
 #: Sums return from owners in units of 1e-9.
@@ -49,28 +51,35 @@ _HIGH = np.uint64(32)
 TRAINING, APART, HELD, WORDS = range(4)
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text as bytes, A to Z lower-cased; bytes.split parts them at exactly the six separators."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def pieces_of(batch: pa.RecordBatch, column: int, most: int):
+    """The rows of a batch in slices of at most so many bytes of text, or of one row."""
+    ends, lo = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
-def _count_words(batches):
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for b in batches:
-        for t, apart in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen[apart].update(words_of(t))
-        if len(seen[0]) > 250_000:
-            yield from _word_rows(seen)
-            seen = (Counter(), Counter())
-    yield from _word_rows(seen)
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A to Z lower-cased, parted at exactly the six separators, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, many = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # a text's border separators leave empty ones
+    if not real.all():
+        words, many = words.filter(pa.array(real)), np.bincount(np.repeat(np.arange(len(many)), many)[real], minlength=len(many))
+    return words, many
 
 
-def _word_rows(seen: tuple[Counter, Counter], rows: int = 100_000):
-    for counts, apart in zip(seen, (False, True), strict=True):
-        n = pa.array(list(counts.values()), pa.int64())
-        none = pa.array(np.zeros(len(n), dtype=np.int64))
-        whole = pa.record_batch([pa.array(list(counts), pa.binary()), n, n if apart else none], names=["term", "n", "d"])
-        yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
+def _count_words(batches):
+    for whole in batches:
+        for b in pieces_of(whole, 0, COUNT_BYTES):
+            for apart in (False, True):
+                seen = pc.value_counts(words_of(b.column(0).filter(pc.equal(b.column(1), apart)))[0])
+                term, n = seen.field(0).cast(pa.binary()), seen.field(1)
+                none = pa.array(np.zeros(len(n), dtype=np.int64))
+                rows = pa.record_batch([term, n, n if apart else none], names=["term", "n", "d"])
+                yield from (rows.slice(i, 100_000) for i in range(0, rows.num_rows, 100_000))
+            pa.default_memory_pool().release_unused()  # a worker would keep it for later tasks
 
 
 def packed(words: list[bytes], *columns: np.ndarray) -> bytes:
@@ -107,14 +116,22 @@ class Numbers:
     def __init__(self, head: dict[bytes, int]):
         self.head, self.size, self.own = head, len(head), {}
 
-    def pairs(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.head.get, words, repeat(0)), dtype=np.uint64, count=len(words))
+    def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of all texts, and how many each text has; different words are looked up once."""
+        words, many = words_of(texts)
+        words = words.dictionary_encode()
+        names = words.dictionary.cast(pa.binary()).to_pylist()
+        found = np.fromiter(map(self.head.get, names, repeat(0)), dtype=np.uint64, count=len(names))
         own, first = self.own, self.size + 1
         for i in np.flatnonzero(found == 0).tolist():
-            found[i] = own.setdefault(words[i], first + len(own))
-        at = np.zeros(len(found) + 2, dtype=np.uint64)
-        at[1:-1] = found
-        return at[:-1] << _HIGH | at[1:]
+            found[i] = own.setdefault(names[i], first + len(own))
+        many = many + 1
+        inside = np.ones(int(many.sum()) + 1, dtype=bool)
+        inside[0] = False
+        inside[np.cumsum(many)] = False
+        at = np.zeros(len(inside), dtype=np.uint64)
+        at[inside] = found[words.indices.to_numpy(zero_copy_only=False)]
+        return at[:-1] << _HIGH | at[1:], many
 
     def dealt(self, keys: np.ndarray, columns: list[np.ndarray], owners: int):
         """(owner, packed words, first, second, columns) of sorted pairs; the words of a pack are numbered there."""
@@ -139,10 +156,13 @@ def _count_pairs(shared, owners: int):
 
     def run(batches):
         numbers, seen, size = Numbers(shared.value[0]), ([], [], []), 0
-        for b in batches:
-            for t, held, apart in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                pairs = numbers.pairs(words_of(t))
-                seen[HELD if held else APART if apart else TRAINING].append(pairs)
+        for whole in batches:
+            for b in pieces_of(whole, 0, SPLIT_BYTES):
+                pairs, many = numbers.pairs(b.column(0))
+                held, apart = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                kinds = np.repeat(np.where(held, HELD, np.where(apart, APART, TRAINING)), many)
+                for kind, runs in enumerate(seen):
+                    runs.append(pairs[kinds == kind])
                 size += len(pairs)
                 if size > most:
                     yield from _pair_rows(numbers, seen, owners)
@@ -154,10 +174,11 @@ def _count_pairs(shared, owners: int):
 
 def _pair_rows(numbers: Numbers, seen: tuple[list, ...], owners: int):
     for kind, runs in enumerate(seen):
-        if runs:
+        if sum(map(len, runs)):
             keys, times = np.unique(np.concatenate(runs), return_counts=True)
             for owner, blob in numbers.dealt(keys, [times], owners):
                 yield pa.record_batch([pa.array([owner], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], names=["owner", "kind", "blob"])
+    pa.default_memory_pool().release_unused()
 
 
 def _deal_words(owners: int):
@@ -333,10 +354,11 @@ def _score(shared, frequent, owners: int):
         base, new = np.log10(n + 1.0), n == 0
         number = TaskContext.get().partitionId() << 32
         numbers, docs, size = Numbers(head), [], 0
-        for b in batches:
-            for doc, held, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                pairs = numbers.pairs(words_of(t))
-                docs.append((doc, held, pairs))
+        for whole in batches:
+            for b in pieces_of(whole, 2, SPLIT_BYTES):
+                pairs, many = numbers.pairs(b.column(2))
+                ids, held = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+                docs.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), held, many, pairs))
                 size += len(pairs)
                 if size > most:
                     yield from _run_rows(number, numbers, docs, base, new, frequent.value, owners)
@@ -349,20 +371,18 @@ def _score(shared, frequent, owners: int):
 
 def _run_rows(number: int, numbers: Numbers, docs: list, base, new, frequent: tuple, owners: int):
     size, (best, lp) = numbers.size, frequent
-    tokens = np.array([len(p) for _, _, p in docs], dtype=np.int64)
-    of = np.repeat(np.arange(len(docs)), tokens)
-    keys = np.concatenate([p for _, _, p in docs])
+    ids, none, held, tokens, keys = (np.concatenate(x) for x in zip(*docs, strict=True))
+    of = np.repeat(np.arange(len(ids)), tokens)
     order = np.argsort(keys)
     keys, of = keys[order], of[order]
     term = (keys & _LOW).astype(np.int64)
     near = term <= size
-    total = lambda at, x: np.bincount(of[at], x, len(docs))
+    total = lambda at, x: np.bincount(of[at], x, len(ids))
     base_sum, unknown = total(near, base[term[near]]), total(near, new[term[near]])
     at = np.minimum(np.searchsorted(best, keys), max(len(best) - 1, 0))
     found = best[at] == keys if len(best) else np.zeros(len(keys), dtype=bool)
     score = total(found, lp[at[found]])
-    ids = np.array([0 if i is None else i for i, _, _ in docs], dtype=np.int64)
-    home = packed([], ids, np.array([i is None for i, _, _ in docs], dtype=np.int64), np.array([h for _, h, _ in docs], dtype=np.int64), tokens, unknown.astype(np.int64), base_sum, score)
+    home = packed([], ids, none.astype(np.int64), held.astype(np.int64), tokens, unknown.astype(np.int64), base_sum, score)
     rows = [((number ^ number >> 32) % owners, True, home)]
     left, of = keys[~found], of[~found]
     first = np.flatnonzero(np.diff(left, prepend=~left[:1]) | (np.diff(of, prepend=-1) != 0).astype(np.uint64)) if len(left) else np.zeros(0, dtype=np.int64)
@@ -371,6 +391,7 @@ def _run_rows(number: int, numbers: Numbers, docs: list, base, new, frequent: tu
     for i in range(0, len(rows), 1000):
         owner, at_home, blobs = zip(*rows[i : i + 1000], strict=True)
         yield pa.record_batch([pa.array(owner, pa.int32()), pa.array([number] * len(owner), pa.int64()), pa.array(at_home), pa.array(blobs, pa.binary())], names=["owner", "run", "home", "blob"])
+    pa.default_memory_pool().release_unused()
 
 
 _RETURNED = pa.schema([("run", pa.int64()), ("home", pa.bool_()), ("blob", pa.binary())])
