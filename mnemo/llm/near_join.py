@@ -6,6 +6,9 @@
    join into candidate components, so that a pair which meets in many bands is verified once.
 3. A component's members go to one task, or, beyond TILE, to tiles of two blocks each; there every pair is verified on the
    full n-gram sets by matrix products.  Tiles emit a row per member (its number of links and a star edge), never pairs.
+   A larger component whose buckets are small, as chains of chance collisions make it, is verified bucket by bucket
+   instead, which takes only its candidate pairs; a pair that meets in several bands counts in the first.  Of the two
+   ways, both of which are exact, a component takes the one that reads fewer copies of texts.
 4. Star edges of verified links join into classes.
 
 Copies and buckets are folded by partial aggregates before they meet, so a group of copies with a third of all rows
@@ -27,6 +30,8 @@ from mnemo.llm.common import discard, first_of_repeats, table, written
 N_GRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.99999, 160
 #: Members of a component that one block holds; a task holds two blocks.
 TILE = 512
+#: Cost of a text copy in a component's tiles against one in a bucket's, which carries band hashes.
+COMPONENT_COST = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,27 +171,36 @@ def _roots(pairs: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _met(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Boolean matrix of whether two rows agree in any column."""
+    out = np.zeros((len(left), len(right)), dtype=bool)
+    for a, b in zip(left.T, right.T, strict=True):
+        out |= a[:, None] == b
+    return out
+
+
 def _verify(n: int, num: int, den: int):
     schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def run(group: pa.Table) -> pa.Table:
         d = group.to_pydict()
         grams_of, tiles = Shingles(n), {}
-        for k, key in enumerate(zip(d["comp"], d["i"], d["j"], strict=True)):
+        for k, key in enumerate(zip(d["cell"], d["band"], d["i"], d["j"], strict=True)):
             tiles.setdefault(key, []).append(k)
         nodes, links, roots = [], [], []
-        for (_, i, j), rows in tiles.items():
+        for (_, band, i, j), rows in tiles.items():
             parts = [[k for k in rows if d["block"][k] == b] for b in ([i] if i == j else [i, j])]
             if not all(parts):
                 continue
             grams = [[grams_of(d["t"][k]) for k in p] for p in parts]
             many = [np.array([d["copies"][k] for k in p], dtype=np.int64) for p in parts]
+            met = [np.array([d["bands"][k][:band] for k in p], dtype=np.int64).reshape(len(p), -1) if band > 0 else np.zeros((len(p), 0), dtype=np.int64) for p in parts]
             if i == j:
-                square = linked(grams[0], grams[0], num, den)
+                square = linked(grams[0], grams[0], num, den) & ~_met(met[0], met[0])
                 np.fill_diagonal(square, False)
                 count = square @ many[0]
             else:
-                yes = linked(grams[0], grams[1], num, den)
+                yes = linked(grams[0], grams[1], num, den) & ~_met(met[0], met[1])
                 a = len(parts[0])
                 square = np.zeros((a + len(parts[1]),) * 2, dtype=bool)
                 square[:a, a:], square[a:, :a] = yes, yes.T
@@ -205,6 +219,23 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
 
 
+def _cells(met: DataFrame, buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, cells): where a member's pairs are verified, each cell with its name, band (-1 for a whole component) and
+    number of blocks; one component, or at most as many buckets as there are bands."""
+    blocks = lambda size: F.ceil(F.col(size) / TILE)
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    wide = sizes.where(F.col("size") > TILE)
+    by_bucket = buckets.join(comps, F.col("least") == F.col("node")).join(wide, "comp").groupBy("comp").agg(F.sum(F.col("n") * blocks("n")).alias("cost"))
+    sizes = sizes.join(by_bucket, "comp", "left").withColumn("blocks", blocks("size"))
+    whole = F.col("cost").isNull() | (F.col("size") * F.col("blocks") * COMPONENT_COST <= F.col("cost"))
+    placed = comps.join(sizes.withColumn("whole", whole), "comp")
+    one = placed.where("whole").select("node", F.array(F.struct(F.col("comp").alias("cell"), F.lit(-1).alias("band"), "blocks")).alias("cells"))
+    many = met.join(placed.where("not whole").select("node"), "node").join(buckets.select("band", "hash", "n"), ["band", "hash"])
+    name = F.encode(F.concat_ws(":", "band", "hash"), "utf-8")
+    many = many.groupBy("node").agg(F.collect_list(F.struct(name.alias("cell"), "band", blocks("n").alias("blocks"))).alias("cells"))  # a row a band
+    return one.unionByName(many)
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> DataFrame:
     """near_links with text_key, a hash of the text, and class_key, the class's own name (NULL without n-grams)."""
     bands, rows = choose_bands(threshold, recall)
@@ -217,20 +248,20 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     sets = full.groupBy("set_key").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     sets = written(sets.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "copies", "bands"), "near-sets")
     met = written(sets.select(F.col("set_key").alias("node"), F.posexplode("bands").alias("band", "hash")), "near-bands")
-    buckets = met.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hash", "least")
+    buckets = written(met.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
     stars = met.join(buckets, ["band", "hash"]).select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b").distinct()
     comps = written(components(stars, "near-candidates"), "near-components")
+    cells = written(_cells(met, buckets, comps), "near-cells")
     discard(met)
 
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    total = comps.count()
-    packs = max(1, total // TILE)
-    member = comps.join(sizes, "comp").join(sets.select(F.col("set_key").alias("node"), "copies", "rep", F.col("text_key").alias("rep_text")), "node")
-    member = member.withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    packs = max(1, (cells.agg(F.sum(F.size("cells")).alias("n")).first().n or 0) // TILE)
+    member = cells.join(sets.select(F.col("set_key").alias("node"), "copies", "rep", F.col("text_key").alias("rep_text"), "bands"), "node")
     held = texts.join(member, (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiled = held.select("node", "copies", "comp", "block", "blocks", "t", other).select("node", "copies", "comp", "block", "t", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp", "i", "j"))
+    placed = held.select("node", "copies", "t", "bands", F.explode("cells").alias("at")).select("node", "copies", "t", "bands", "at.*")
+    placed = placed.withColumn("bands", F.when(F.col("band") > 0, F.col("bands"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiled = tiled.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(packs))).otherwise(F.xxhash64("cell", "i", "j"))
     found = written(tiled.withColumn("pack", pack).drop("blocks").groupBy("pack").applyInArrow(_verify(n, num, den), "node binary, links long, root binary"), "near-links")
     per_node = found.groupBy("node").agg(F.sum("links").alias("links"))
     grown = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "near-classes")

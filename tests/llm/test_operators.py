@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,6 +356,29 @@ def test_near_one_of_repeats(spark):
     assert one == two and len(one) == 1 and one[0].doc_id == 1
 
 
+def test_near_bucket_tiles(spark, monkeypatch):
+    """A wide component of chance candidates is verified bucket by bucket; every link is counted once."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        # texts of one chain share half of their words with the next ones, few are near copies
+        words = base[i % 30 :] + [f"c{(i // 3) * 5 + k}" for k in range(40)] + [f"d{i // 3}"] * 3
+        for _ in range(int(rng.integers(0, 3))):
+            words[int(rng.integers(0, len(words)))] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(near_join.near_links(docs).collect())
+    monkeypatch.setattr(near_join, "TILE", 4)
+    # both ways, whatever their cost, and the one that costs less
+    for bias in (0, 1, 10**6):
+        monkeypatch.setattr(near_join, "COMPONENT_COST", bias)
+        assert sorted(near_join.near_links(docs).collect()) == whole
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    want = [sum(a != b and len(grams[a] & grams[b]) * 10 >= 8 * len(grams[a] | grams[b]) for b in range(90)) for a in range(90)]
+    assert [r.n_links for r in whole] == want and sum(want) > 0
+
+
 def test_near_tiles(spark, monkeypatch):
     """A component over many tiles gives the same links."""
     base = [f"w{k}" for k in range(120)]
@@ -365,6 +389,22 @@ def test_near_tiles(spark, monkeypatch):
     assert near_join.near_links(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+# Language model
+
+
+def test_words_of_pieces():
+    """Arrow kernels part texts at exactly the six separators and lower A to Z alone."""
+    odd = ["", " ", "a", " A b\t\nC ", "\x0b\x0cx\r", "Äß\u00a0É\u2003k \x1c\x1d\x85 z\x00Z", "İ I", "  two   gaps  "]
+    words, many = language_model.words_of(pa.array(odd))
+    want = [t.encode().lower().split() for t in odd]
+    assert words.cast(pa.binary()).to_pylist() == [w for x in want for w in x] and many.tolist() == [len(x) for x in want]
+    batch = pa.record_batch([pa.array(odd)], names=["t"])
+    for most in (1, 5, 1000):
+        pieces = list(language_model.pieces_of(batch, 0, most))
+        assert [t for b in pieces for t in b.column(0).to_pylist()] == odd
+        assert all(b.num_rows == 1 or sum(len(t.encode()) for t in b.column(0).to_pylist()) <= most for b in pieces)
+
+
 # HTML
 
 
