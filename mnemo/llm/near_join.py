@@ -32,6 +32,8 @@ N_GRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.99999, 160
 TILE = 512
 #: Cost of a text copy in a component's tiles against one in a bucket's, which carries band hashes.
 COMPONENT_COST = 1
+#: A key of one in so many rows or more is hot.  At most so many keys are, so their list is broadcast.
+HOT = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,6 +221,18 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
 
 
+def _spread(rows: DataFrame, values: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined on key to values, a row a key, whose `size` column says how many of all `total` rows have the key; the
+    rows of a hot key, and those without a key, are dealt to up to HOT tasks instead of one."""
+    values = values.withColumn("__salts", F.floor(F.col(size) * HOT / F.lit(max(total, 1))).cast("int") + 1)
+    hot = values.where("__salts > 1").select(F.col(key).alias("__hot"), F.col("__salts").alias("__many"))
+    salts = F.when(F.col(key).isNull(), F.lit(HOT)).otherwise(F.coalesce("__many", F.lit(1)))
+    own = F.xxhash64(*[F.col(c) for c in rows.columns])
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.pmod(own, salts).cast("int")).drop("__hot", "__many")
+    each = values.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    return dealt.join(each, [key, "__salt"], how).drop("__salt")
+
+
 def _cells(met: DataFrame, buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """(node, cells): where a member's pairs are verified, each cell with its name, band (-1 for a whole component) and
     number of blocks; one component, or at most as many buckets as there are bands."""
@@ -228,7 +242,7 @@ def _cells(met: DataFrame, buckets: DataFrame, comps: DataFrame) -> DataFrame:
     by_bucket = buckets.join(comps, F.col("least") == F.col("node")).join(wide, "comp").groupBy("comp").agg(F.sum(F.col("n") * blocks("n")).alias("cost"))
     sizes = sizes.join(by_bucket, "comp", "left").withColumn("blocks", blocks("size"))
     whole = F.col("cost").isNull() | (F.col("size") * F.col("blocks") * COMPONENT_COST <= F.col("cost"))
-    placed = comps.join(sizes.withColumn("whole", whole), "comp")
+    placed = _spread(comps, written(sizes.withColumn("whole", whole), "near-sizes"), "comp", "size", comps.count())
     one = placed.where("whole").select("node", F.array(F.struct(F.col("comp").alias("cell"), F.lit(-1).alias("band"), "blocks")).alias("cells"))
     many = met.join(placed.where("not whole").select("node"), "node").join(buckets.select("band", "hash", "n"), ["band", "hash"])
     name = F.encode(F.concat_ws(":", "band", "hash"), "utf-8")
@@ -265,11 +279,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     found = written(tiled.withColumn("pack", pack).drop("blocks").groupBy("pack").applyInArrow(_verify(n, num, den), "node binary, links long, root binary"), "near-links")
     per_node = found.groupBy("node").agg(F.sum("links").alias("links"))
     grown = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "near-classes")
-    named = grown.join(sets.select(F.col("set_key").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("class_id"))
-    classes = grown.join(named, "comp").select(F.col("node").alias("of_class"), "class_id", F.col("comp").alias("class_key"))
+    named = grown.join(sets.select(F.col("set_key").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    classes = _spread(grown, written(named, "near-names"), "comp", "members", grown.count()).select(F.col("node").alias("of_class"), "class_id", F.col("comp").alias("class_key"))
     known = sets.join(per_node, F.col("set_key") == F.col("node"), "left").join(classes, F.col("set_key") == F.col("of_class"), "left")
-    known = known.select(F.col("set_key").alias("key"), "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_key", "set_key").alias("class_key"))
-    out = signed.join(known, F.when(F.col("n_grams") > 0, F.col("set_key")) == F.col("key"), "left")
+    known = known.select("set_key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_key", "set_key").alias("class_key"))
+    rows = signed.select("doc_id", "n_grams", "text_key", F.when(F.col("n_grams") > 0, F.col("set_key")).alias("set_key"))
+    out = _spread(rows, written(known, "near-known"), "set_key", "copies", signed.count(), "left")
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
         F.coalesce("rep", "doc_id").alias("rep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_grams", "text_key", "class_key",
@@ -296,8 +311,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hash of all columns.  Rows without n-grams are in no class and all stay.
     """
     links = written(_linked(docs, id_col, text_col, N_GRAM, THRESHOLD, RECALL).where("n_grams > 0").select("class_key", "doc_id", "text_key"), "near-classes")
-    first = written(links.groupBy("class_key").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class_key", "first"), "near-firsts")
-    marked = links.join(first, "class_key").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("first") == _place()).alias("stays"))
+    first = written(links.groupBy("class_key").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-firsts")
+    marked = _spread(links, first, "class_key", "rows", links.count()).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("first") == _place()).alias("stays"))
     marked = written(marked, "near-marked")
     mine = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__key"))
     kept = docs.join(marked.where("not stays").select("__id", "__key").distinct(), mine, "left_anti")

@@ -164,6 +164,16 @@ def test_exceptions_cancel():
     assert lex.matches(toxicity.fold("such trash")) and not lex.matches(toxicity.fold("empty the trash"))
 
 
+def test_near_hot_keys(spark):
+    """Rows of a hot key, of others and of none meet their values once, and a hot key's rows part."""
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 5 == 0 else f"k{i}") for i in range(3000)], "i int, k string")
+    values = rows.where("k is not null").groupBy("k").count().withColumnRenamed("count", "n")
+    got = near_join._spread(rows, values, "k", "n", 3000, "left")
+    assert collections.Counter((r.i, r.k, r.n) for r in got.collect()) == {(i, k, {"hot": 1500, None: None}.get(k, 1)): 1 for i, k in rows.collect()}
+    assert near_join._spread(rows, values, "k", "n", 3000).count() == rows.where("k is not null").count()
+    assert near_join._spread(rows.limit(0), values.limit(0), "k", "n", 0).count() == 0
+
+
 # Language model
 
 
