@@ -79,12 +79,8 @@ class Vocabulary:
         self.longest = max(map(len, self.weight))
         self.by_length = {}
         for k in {len(p) for p in self.weight}:
-            own = [(int(h[-1]), i, w) for p, (i, w) in self.weight.items() if len(p) == k for *_, (_, h) in [_suffix_hashes(np.array([*map(ord, p)], dtype=np.uint64), k)]]
-            own.sort()
-            hashes = np.array([h for h, _, _ in own], dtype=np.uint64)
-            seen = np.zeros(1 << 20, dtype=bool)  # a first sieve on 20 bits
-            seen[(hashes * _GOLD) >> np.uint64(44)] = True
-            self.by_length[k] = (seen, hashes, np.array([i for _, i, _ in own], dtype=np.int32), np.array([w for _, _, w in own]))
+            own = [(h[-1], i, w) for p, (i, w) in self.weight.items() if len(p) == k for *_, (_, h) in [_suffix_hashes(np.array([*map(ord, p)], dtype=np.uint64), k)]]
+            self.by_length[k] = _Lookup(*map(np.array, zip(*own, strict=True)))
         self.splits = not any(re.search("[^ ] ", p) for p in self.weight)
         self.surface = np.frombuffer(b"".join(surface), dtype=np.uint8)
         self.length = np.array([len(s) for s in surface], dtype=np.int64)
@@ -149,66 +145,91 @@ class Lattice:
 
     def filter(self, chunks: list[str]) -> None:
         """Forward filtering of new chunks, the short ones in slices of FILTER_CHARS characters."""
-        short = sorted((c for c in chunks if len(c) <= _SHORT), key=len, reverse=True)
-        some, size = [], 0
-        for c in short:
-            some.append(c)
-            size += len(c)
-            if size >= FILTER_CHARS:
-                self._filter_short(some)
-                some, size = [], 0
-        if some:
-            self._filter_short(some)
+        short = [c for c in chunks if len(c) <= _SHORT]
+        short.sort(key=len, reverse=True)
+        ends = np.cumsum(np.fromiter(map(len, short), dtype=np.int64, count=len(short)))
+        at = 0
+        while at < len(short):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FILTER_CHARS)) + 1
+            self._filter_short(short[at:to])
+            at = to
         for c in chunks:
             if len(c) > _SHORT:
                 self._filter_long(c)
 
     def _filter_short(self, chunks: list[str]) -> None:
-        v, longest = self.v, self.v.longest
-        text = "".join(chunks)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        size = np.array([len(c) for c in chunks], dtype=np.int64)
-        start, owner = np.cumsum(size) - size, np.repeat(np.arange(len(chunks)), size)
-        inside = np.arange(len(code)) - start[owner]
-        # column longest - k: the piece of k characters that ends here, and its weight
-        weight, piece = np.zeros((len(code), longest)), np.zeros((len(code), longest), dtype=np.int32)
-        for k, h in _suffix_hashes(code, longest):
-            if k not in v.by_length:
-                continue
-            seen, hashes, ids, weights = v.by_length[k]
-            at = np.flatnonzero((inside >= k - 1) & seen[(h * _GOLD) >> np.uint64(44)])
-            place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-            ok = hashes[place] == h[at]
-            at, place = at[ok], place[ok]
-            weight[at, longest - k], piece[at, longest - k] = weights[place], ids[place]
-        lone = np.flatnonzero(weight[:, longest - 1] == 0)
-        weight[lone, longest - 1] = _FALLBACK
-        piece[lone, longest - 1] = [self._pseudo(text[i]) for i in lone.tolist()]
-        alpha = np.zeros((len(chunks), int(size[0]) + 1))
-        alpha[:, 0] = 1.0
-        for e in range(1, int(size[0]) + 1):
-            n = int(np.searchsorted(-size, -e, side="right"))  # chunks of e characters or more come first
-            k = min(e, longest)
-            alpha[:n, e] = (alpha[:n, e - k : e] * weight[start[:n] + e - 1, longest - k :]).sum(axis=1)
-        row, col = np.nonzero(weight)
-        e = inside[row] + 1
-        back = e - (longest - col)
-        share = alpha[owner[row], back] * weight[row, col] / alpha[owner[row], e]
-        total = np.cumsum(share)
-        opens = np.flatnonzero(np.diff(row, prepend=-1))
-        upto = total - np.repeat((total - share)[opens], np.diff(np.append(opens, len(row))))
-        upto[np.append(opens[1:], len(row)) - 1] = 2.0
-        base = self.first.n + start + np.arange(len(chunks))  # a chunk has one node more than characters
-        first = np.zeros(len(code) + len(chunks), dtype=np.int64)
-        first[np.arange(len(code)) + owner + 1] = self.upto.n + opens
-        for c, i in zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True):
-            self.known[c] = i
+        """Chunks in falling order of length.  Cells are (end, chunk): all first characters, then all second ones, ..., so
+        that the cells of one end are a slice, and the chunks that have one are the first of them."""
+        v, text = self.v, "".join(chunks)
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        start, longest = np.cumsum(size) - size, int(size[0])
+        have = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # chunks of e characters or more, from e = 1
+        off = np.concatenate([[0], np.cumsum(have)])  # the cells of end e are off[e - 1] : off[e]
+        n = int(off[-1])
+        end = np.repeat(np.arange(1, longest + 1), have)
+        owner = np.arange(n) - off[end - 1]
+        row = start[owner] + end - 1  # of a cell: its character in the text
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)[row].astype(np.uint64) + np.uint64(1)
+        # found[k]: cells where a piece of k characters ends, its weight and id; dense[k]: weights of all cells from end k on
+        found, dense, h, power = {}, {}, np.zeros(n, dtype=np.uint64), 1
+        for k in range(1, min(longest, v.longest) + 1):
+            term = code * np.uint64(power)
+            for e in range(k, longest + 1):
+                h[off[e - 1] : off[e]] += term[off[e - k] : off[e - k] + have[e - 1]]
+            power = power * _BASE & _ALL
+            if k in v.by_length:
+                at, ids, weights = v.by_length[k].find(h[off[k - 1] :])
+                dense[k] = np.zeros(n - off[k - 1])
+                dense[k][at] = weights
+                found[k] = (at + off[k - 1], ids, weights)
+        single, piece = dense.get(1, np.zeros(n)), np.zeros(n, dtype=np.int32)
+        if 1 in found:
+            piece[found[1][0]] = found[1][1]
+        lone = np.flatnonzero(single == 0)
+        single[lone] = _FALLBACK
+        piece[lone] = [self._pseudo(text[i]) for i in row[lone].tolist()]
+        dense[1], found[1] = single, (np.arange(n), piece, single)  # every cell has a piece of one character
+
+        m = len(chunks)
+        alpha = np.zeros(m + n)  # the chunks' starts, then the cells
+        alpha[:m] = 1.0
+        for e in range(1, longest + 1):
+            lo, many = off[e - 1], have[e - 1]
+            total = alpha[m + lo : m + lo + many]
+            for k in range(1, min(e, v.longest) + 1):
+                if k in dense:
+                    before = m + off[e - k - 1] if e > k else 0
+                    total += alpha[before : before + many] * dense[k][lo - off[k - 1] : lo - off[k - 1] + many]
+        base = self.first.n + start + np.arange(m)  # a chunk has one node more than characters
+        node = base[owner] + end
+        edges = np.zeros(n, dtype=np.int64)
+        for at, *_ in found.values():
+            edges[at] += 1
+        per_row = np.empty(n, dtype=np.int64)
+        per_row[row] = edges
+        opens = np.cumsum(per_row) - per_row
+        first = np.zeros(n + m, dtype=np.int64)
+        first[node - self.first.n] = self.upto.n + opens[row]
+        place, run = opens[row], np.zeros(n)
+        count = int(edges.sum())
+        upto, back, pieces = np.full(count, 2.0), np.empty(count, dtype=np.int64), np.empty(count, dtype=np.int32)
+        starts = np.concatenate([[0], m + off])  # where alpha has the cells of an end, from end 0
+        for k in sorted(found, reverse=True):
+            at, ids, weights = found[k]
+            to = place[at]
+            if k > 1:
+                run[at] += alpha[starts[end[at] - k] + owner[at]] * weights
+                upto[to] = run[at] / alpha[m + at]
+                place[at] += 1
+            back[to] = node[at] - k
+            pieces[to] = ids
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + m), strict=True))
         self.ends.add(base + size)
         self.sizes.add(size)
         self.first.add(first)
         self.upto.add(upto)
-        self.back.add(base[owner[row]] + back)
-        self.piece.add(piece[row, col])
+        self.back.add(back)
+        self.piece.add(pieces)
 
     def _filter_long(self, chunk: str) -> None:
         """The same for one chunk of any length; weights are rescaled where they get small."""
@@ -277,7 +298,7 @@ class Lattice:
             self.clear()
         number = list(map(self.known.get, keys))
         if None in number:
-            self.filter(list(dict.fromkeys(k for k, i in zip(keys, number, strict=True) if i is None)))
+            self.filter(list(dict.fromkeys([k for k, i in zip(keys, number, strict=True) if i is None])))
             number = list(map(self.known.get, keys))
         number = np.array(number, dtype=np.int64)
         now = self.ends.all()[number]
@@ -355,6 +376,39 @@ class Lattice:
         return self._spelled(np.frombuffer(out, dtype=np.int32)[::-1].copy(), np.array([len(out)]))[0]
 
 
+class _Lookup:
+    """Pieces of one length by their hashes: tables of 2^16 places, each for the pieces whose place in all before is taken."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, weights: np.ndarray):
+        self.hashes, self.ids, self.weights, self.tables = hashes.astype(np.uint64), ids.astype(np.int32), weights.astype(np.float64), []
+        left, odd = np.arange(len(hashes)), int(_GOLD)
+        while len(left):
+            own, kept = np.full(1 << 16, -1, dtype=np.int16 if len(hashes) < 1 << 15 else np.int32), self._places(self.hashes[left], odd)
+            own[kept] = left
+            self.tables.append((odd, own))
+            left, odd = left[own[kept] != left], odd * _BASE & _ALL
+
+    @staticmethod
+    def _places(h: np.ndarray, odd: int) -> np.ndarray:
+        return (h * np.uint64(odd)) >> np.uint64(48)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places where h has the hash of a piece, each once, and the pieces' ids and weights."""
+        at, places, got = None, [], []
+        for odd, own in self.tables:
+            rest = h if at is None else h[at]
+            which = own[self._places(rest, odd)]
+            some = np.flatnonzero(which >= 0)
+            which = which[some]
+            ok = self.hashes[which] == rest[some]
+            some = some if at is None else at[some]
+            places.append(some[ok])
+            got.append(which[ok])
+            at = some[~ok]  # a piece of a later table has its place here taken by another
+        which = np.concatenate(got)
+        return np.concatenate(places), self.ids[which], self.weights[which]
+
+
 class _Grown:
     """An array that grows by a quarter at a time."""
 

@@ -695,3 +695,48 @@ def test_long_chunks_filter_alike():
     b._filter_long(" thendingha")
     ends = lambda x: sorted(x.upto.all()[x.upto.all() < 2].tolist())
     assert len(a.upto.all()) == len(b.upto.all()) and len(ends(a)) == len(ends(b))
+
+
+def test_chunks_filter_alike_in_any_company():
+    """The cumulative probabilities of a chunk are the same to the last bit alone and among others, of any lengths."""
+    v = sampled_pieces.vocabulary(sampled_pieces.MODEL, 1.0)
+    chunks = sorted({f" {'thendingha'[i % 7 :]}{i}{'é漢𝔘'[i % 3] * (i % 4)}" for i in range(3000)} | {" ", "   ", " the", "a"}, key=len, reverse=True)
+    together = sampled_pieces.Lattice(v)
+    together._filter_short(chunks)
+    for c in chunks[::97] + chunks[-4:]:
+        alone, i = sampled_pieces.Lattice(v), together.known[c]
+        alone._filter_short([c])
+        end = int(together.ends.all()[i])
+        base = end - len(c)
+        for e in range(1, len(c) + 1):
+            a, b = int(together.first.all()[base + e]), int(alone.first.all()[e])
+            while True:
+                assert together.upto.all()[a] == alone.upto.all()[b] and together.back.all()[a] - base == alone.back.all()[b]
+                if alone.upto.all()[b] == 2.0:
+                    break
+                a, b = a + 1, b + 1
+
+
+def test_short_chunks_filter_in_small_tables():
+    """No work is spent on pieces that are longer than the chunks."""
+    import tracemalloc
+
+    lattice = sampled_pieces.Lattice(sampled_pieces.vocabulary(sampled_pieces.MODEL, 1.0))
+    chunks = [chr(0x4E00 + i) + chr(0x61 + k) for i in range(1000) for k in range(26)]
+    tracemalloc.start()
+    lattice._filter_short(chunks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 350 * 2 * len(chunks)
+
+
+def test_piece_lookup():
+    """Every piece is found by its hash, those whose first place is taken too, and nothing else is."""
+    v = sampled_pieces.vocabulary(sampled_pieces.MODEL, 1.0)
+    for k, look in v.by_length.items():
+        probe = np.concatenate([look.hashes[::-1], look.hashes ^ np.uint64(1), look.hashes[:9]])
+        at, ids, weights = look.find(probe)
+        got = dict(zip(at.tolist(), zip(ids.tolist(), weights.tolist(), strict=True), strict=True))
+        known = dict(zip(look.hashes.tolist(), zip(look.ids.tolist(), look.weights.tolist(), strict=True), strict=True))
+        assert len(got) == len(at) and got == {i: known[h] for i, h in enumerate(probe.tolist()) if h in known}
+    assert sum(len(x.hashes) for x in v.by_length.values()) == len(v.weight) and max(len(x.tables) for x in v.by_length.values()) > 1
