@@ -11,6 +11,7 @@ import os
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ from mnemo.llm.pieces import HEAD_TERMS, head_of, to_map
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Bytes of texts that a task splits together, where no single text is larger.
+RUN_BYTES = 1 << 20
+#: Different pre-tokens that a task counts before it sends them on; those of one run of texts may come on top.
+MOST_SEEN = 400_000
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -49,13 +55,25 @@ class PreTokens:
         return [x for p in parts for x in self.find(p)], len(parts) - 1
 
 
+def _runs(batches, column: int):
+    """Slices of the batches with about RUN_BYTES of texts, so that memory does not grow with the rows of a batch."""
+    for b in batches:
+        at, size = 0, 0
+        for i, n in enumerate(pc.binary_length(b.column(column)).to_pylist()):
+            if size and size + n > RUN_BYTES:
+                yield b.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        yield b.slice(at)
+
+
 def _term_counts(name: str):
     def run(batches):
         split, seen = PreTokens(name), Counter()
-        for b in batches:
+        for b in _runs(batches, 0):
             for t in b.column(0).to_pylist():
                 seen.update(split(t)[0])
-            if len(seen) > 250_000:
+            if len(seen) > MOST_SEEN:
                 yield from _flats(seen)
                 seen = Counter()
         if seen:
@@ -95,7 +113,7 @@ def _per_document(name: str, head):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in _runs(batches, 1):
             sums, tails, ids, sizes = [], [], [], []
             for t in b.column(1).to_pylist():
                 terms, extra = split(t)
