@@ -135,6 +135,33 @@ def test_suffix_dedup_odd(odd):
     assert suffix_dedup.repeats_removed(odd.limit(0)).count() == 0
 
 
+def test_suffix_dedup_gives_spans_and_bytes(spark, docs, odd, monkeypatch):
+    """The removed runs and the remaining bytes themselves, from which the digests follow; small runs, so a batch is given in pieces."""
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 2000)
+    some = [(i, t) for i, t in texts(docs) if len(t) < 6000][:60]
+    a = "ü" * 250 + some[0][1][:500].ljust(500, "q")
+    some += [(9001, "xyz" + a), (9002, a + "é" * 450), (9003, "é" * 130 + "z"), (9004, None), (9004, "cd" * 300), (9004, "cd" * 300)]
+    for df in (spark.createDataFrame(some, "doc_id long, text string"), odd):
+        rows = {(i, t.encode()) for i, t in texts(df)}
+        want = collections.Counter()
+        for (i, _, *figures), n in brute_repeats([(i, t.encode()) for i, t in texts(df)]).items():
+            want[(i, *figures)] += n
+        got = suffix_dedup.without_repeats(df).collect()
+        assert collections.Counter((r.doc_id, sum(s.end - s.start for s in r.spans), len(r.spans), sha(bytes(r.kept))) for r in got) == want
+        for r in got:  # the spans, cut out of a text of this id, leave the remaining bytes
+            ends = [0, *[x for s in r.spans for x in s]]
+            assert any(i == r.doc_id and b"".join(t[x:y] for x, y in zip(ends[0::2], [*ends[1::2], len(t)], strict=True)) == bytes(r.kept) for i, t in rows)
+        digests = suffix_dedup.repeats_removed(df).collect()
+        assert sorted(map(repr, [(r.doc_id, r.spans) for r in digests])) == sorted(map(repr, [(r.doc_id, r.spans) for r in got]))
+    assert suffix_dedup.without_repeats(odd.limit(0)).count() == 0
+
+
+def test_suffix_dedup_query(spark):
+    rows = suffix_dedup.op2_suffix_dedup(spark, SF).collect()
+    assert rows[0].__fields__ == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "changed"]
+    assert {r.changed for r in rows} == {True, False} and all(r.changed == (r.n_removed > 0) for r in rows)
+
+
 # Toxicity
 
 
